@@ -23,6 +23,14 @@ from pyspark.sql import functions as F
 from brindle.llm.common import ALNUM, lowered, words, written
 
 
+def _hashed(name: str, n: int) -> Column:
+    """The hash of an array of at most n words, as of so many columns."""
+    hashed = F.lit(None).cast("bigint")
+    for size in range(n, 0, -1):
+        hashed = F.when(F.size(name) == size, F.xxhash64(*[F.get(name, F.lit(k)) for k in range(size)])).otherwise(hashed)
+    return hashed
+
+
 def windows(items: DataFrame, n: int) -> DataFrame:
     """hash, words (array), size and items (array of ids as strings) of each window of the benchmark."""
     w = F.col("w")
@@ -34,7 +42,7 @@ def windows(items: DataFrame, n: int) -> DataFrame:
         .select("item", F.explode(F.transform(starts, lambda i: F.slice(w, i, size))).alias("words"))
         .groupBy("words")
         .agg(F.collect_set("item").alias("items"))
-        .select(F.xxhash64("words").alias("hash"), "words", F.size("words").alias("size"), "items")
+        .select(_hashed("words", n).alias("hash"), "words", F.size("words").alias("size"), "items")
     )
 
 
@@ -48,19 +56,26 @@ def hits(docs: DataFrame, items: DataFrame, keep: list[str], n: int = 10, most_h
     df = df.select(*keep, "_row", "_w", F.size("_w").cast("long").alias("n_words"))
 
     none = "array<struct<start:int,size:int,hash:bigint>>"
-
-    def every(size: int) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice(w, i + 1, size)).alias("hash")))
-        return F.when(F.size(w) >= size, made).otherwise(F.array().cast(none))
-
-    def known(size: int) -> Column:
-        if rows > most_hashes:
-            return F.col(f"_e{size}")
-        hashes = table.where(F.col("size") == size).select(F.col("hash").cast("string")).distinct().collect()
-        return F.expr(f"filter(_e{size}, x -> x.hash IN ({', '.join(f"bigint('{r[0]}')" if r[0] == str(-(2**63)) else f'{r[0]}L' for r in hashes)}))")
-
-    df = df.select(*keep, "_row", "n_words", "_w", *[every(s).alias(f"_e{s}") for s in sizes])
-    cand = F.concat(F.array().cast(none), *[known(s) for s in sizes])
+    inside = rows <= most_hashes
+
+    def known(values: DataFrame) -> str:
+        got = values.distinct().collect()
+        return ", ".join(f"bigint('{r[0]}')" if r[0] == -(2**63) else f"{r[0]}L" for r in got)
+
+    def window(size: int) -> str:
+        return ", ".join(f"get(_w, i + {k})" for k in range(size))
+
+    def candidates(size: int) -> Column:
+        """Windows whose hash is in the set; the hash of their first and last word is looked up before."""
+        own = table.where(F.col("size") == size)
+        test = "true"
+        if inside:
+            ends = own.select(F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(size - 1))))
+            test = f"xxhash64(get(_w, i), get(_w, i + {size - 1})) IN ({known(ends)}) AND xxhash64({window(size)}) IN ({known(own.select('hash'))})"
+        made = f"transform(filter(sequence(0, size(_w) - {size}), i -> {test}), i -> struct(i AS start, {size} AS size, xxhash64({window(size)}) AS hash))"
+        return F.expr(f"CASE WHEN size(_w) >= {size} THEN {made} ELSE CAST(array() AS {none}) END")
+
+    cand = F.concat(F.array().cast(none), *[candidates(s) for s in sizes])
     df = df.select(*keep, "_row", "n_words", "_w", cand.alias("_c"))
     df = df.select(*keep, "_row", "n_words", F.explode_outer(F.transform("_c", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["hash"].alias("hash"), F.slice(w, x["start"] + 1, x["size"]).alias("words")))).alias("c"))
     df = df.select(*keep, "_row", "n_words", "c.*")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import SPACED, words, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 #: Bits of a sort key that hold a position; the rest are hash.
 POSITION_BITS = 26
 
@@ -58,11 +58,11 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = docs.select(*keep, text.alias("_t")).select(*keep, "_t", words(F.col("_t")).alias("_w"))
     t = F.col("_t")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_char = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
+    n_char = lambda chars: (F.length(t) - F.length(F.regexp_replace(t, chars, ""))).cast("long")
     df = df.select(
         *keep, "_w", F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        n_char(SYMBOLS).alias("n_symbols"), n_char("!").alias("n_bangs"), n_char("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        n_char(SYMBOLS).alias("n_symbols"), n_char("!+").alias("n_bangs"), n_char("[A-Z]+").alias("n_capitals"),
         lines.alias("_l"),
     )
     w = F.col("_w")
