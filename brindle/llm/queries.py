@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, quality, secrets
+from brindle.llm import bpe, decontaminate, quality, secrets, token_counts, token_files
 from brindle.llm.common import table
+from brindle.llm.pieces import vocabulary
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     n = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
@@ -23,5 +32,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_secrets, op6_quality)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_bpe, op4_token_files, op5_secrets, op6_quality, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
