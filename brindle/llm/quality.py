@@ -151,14 +151,15 @@ def certified(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float
     return per.select("_stratum", *chosen)
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, most_strata: int = 10_000) -> DataFrame:
-    """doc_id, the measures, base_failed and kept for each row of docs.
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, most_strata: int = 10_000, more: list[str] | None = None) -> DataFrame:
+    """doc_id, the measures, base_failed and kept for each row of docs, and the columns named in more.
 
     Cutoffs are broadcast only when there are most_strata rows of them at
     most; otherwise the join is left to Spark, which splits hot strata.
     """
     key = F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null"))
-    measured = written(measures(docs.select("doc_id", "text", key.alias("_key")), ["doc_id", "_key"]), "measures")
+    more = more or []
+    measured = written(measures(docs.select("doc_id", "text", key.alias("_key"), *more), ["doc_id", "_key", *more]), "measures")
     cuts = written(certified(measured, labels, "_key", alpha, delta), "certified")
     if cuts.count() <= most_strata:
         cuts = F.broadcast(cuts)
@@ -166,4 +167,4 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     for r in rules():
         rejected = rejected | F.coalesce(r.value > F.col(f"cut_{r.name}"), F.lit(False))
     joined = measured.join(cuts, measured["_key"] == F.col("_stratum"), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), "n_lines", "n_bangs", "n_capitals")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), "n_lines", "n_bangs", "n_capitals", *more)
