@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.lexicon import Lexicon, build, save
-from brindle.llm.pieces import Pieces, chunks, merger, spaced, tokenizer
+from brindle.llm.pieces import Pieces, chunks, kept, merger, spaced, tokenizer
 
 _MAPPED: dict[str, Lexicon] = {}
 
@@ -117,7 +117,7 @@ def encode_decode(docs: DataFrame, path: str, most_words: int = 60_000, digests:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = decode = None
         for batch in batches:
-            encode, decode = encode or encoder(path, name), decode or decoder(path)
+            encode, decode = encode or kept(("bpe", path, name), lambda: encoder(path, name)), decode or kept(("text", path), lambda: decoder(path))
             texts = batch.column(1).to_pylist()
             for at, part in chunks(texts):
                 ids = encode(part)

@@ -1,8 +1,8 @@
 """Encoding by pieces: a text is cut where no token can cross, and each distinct piece is encoded once.
 
 Batches of pieces are balanced by bytes, so memory does not depend on how
-long a text is; the memory of known pieces has a bound and starts afresh
-beyond it.
+long a text is; the memory of known pieces has a bound, beyond which
+those go that were not met again.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 BATCH_BYTES = 1 << 20
 CHUNK_CHARS = 2 << 20
-MOST_PIECES = 600_000
+MOST_PIECES = 400_000
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[object, object] = {}
 
 
 def tokenizer(path: str):
@@ -71,19 +71,30 @@ def spaced(text: str) -> list[str]:
 
 
 class Pieces:
-    """What a function makes of pieces, kept by piece."""
+    """What a function makes of pieces, kept by piece in two generations of at most about most each."""
 
     def __init__(self, make: Callable[[list[str]], list], most: int = MOST_PIECES):
-        self.make, self.most, self.known = make, most, {}
+        self.make, self.most, self.known, self.old = make, most, {}, {}
 
     def learn(self, pieces: set[str]) -> dict:
+        """A dict that has all of pieces."""
         if len(self.known) > self.most:
-            self.known.clear()
-        for batch in by_bytes(pieces - self.known.keys()):
+            self.known, self.old = {}, self.known
+        new = pieces - self.known.keys()
+        for p in new & self.old.keys():
+            self.known[p] = self.old[p]
+        for batch in by_bytes(new - self.old.keys()):
             self.known.update(zip(batch, self.make(batch), strict=True))
         return self.known
 
 
+def kept(key: tuple, make: Callable[[], object]):
+    """What make() gives, once for each worker process and key: known pieces stay from task to task."""
+    if key not in _LOADED:
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
 #: A word of Latin-1 letters, with a space in front or a run of ASCII marks but ' behind: pieces whose split is plain.
 PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 MOST_MARKS = 10_000

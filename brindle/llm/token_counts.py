@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.pieces import Pieces, chunks, merger, spaced, tokenizer
+from brindle.llm.pieces import Pieces, chunks, kept, merger, spaced, tokenizer
 
 
 def lengths(path: str):
@@ -44,7 +44,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = None
         for batch in batches:
-            of = of or lengths(path)
+            of = of or kept(("counts", path), lambda: lengths(path))
             texts, n_bytes, n_tokens = batch.column(1).to_pylist(), [], []
             for _, part in chunks(texts):
                 n_bytes += [len(x.encode()) for x in part]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import shared_path, written
-from brindle.llm.pieces import Pieces, chunks, merger, tokenizer
+from brindle.llm.pieces import Pieces, chunks, kept, merger, tokenizer
 
 PART = "part int, file string, n_docs bigint, n_null bigint, n_tokens bigint, width int"
 
@@ -86,7 +86,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame
                 where, root = fs.FileSystem.from_uri(folder)
                 where.create_dir(root, recursive=True)
                 name = f"{root}/{file.rpartition('/')[2]}"
-                of, out = id_bytes(path, kind), where.open_output_stream(f"{name}.bin")
+                of, out = kept(("files", path, kind), lambda: id_bytes(path, kind)), where.open_output_stream(f"{name}.bin")
             n_null += batch.column(0).null_count
             ids.append(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             for _, texts in chunks(batch.column(1).to_pylist()):
