@@ -9,13 +9,15 @@ shingles reaches percent / 100.
 2. One pass makes each document's set (64-bit hashes), a 128-bit digest of
    it, and its prefix, the first n - ceil(t n) + 1 shingles in that order.
    Equal sets become one class, so copies meet no join.
+   The suffix filter is a bound on the sets' Hamming distance: members fall
+   into CELLS cells by hash, and cells of unlike parity differ at least once.
 3. Prefix entries whose shingle occurs in one class only go. In each group of
    a shingle, all others are paired with the group's least member, filtered
    by length and position, verified once per pair on whole sets after a
    suffix filter, and joined into components.
 4. What remains are shingles in several components: there all pairs of
-   different components that pass the length and position filters are made,
-   verified once, and the components are joined. A pair within one component
+   different components that pass the length, position and suffix filters
+   are made, verified once, and the components are joined. A pair within one component
    can change nothing, so no link is lost.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing.
@@ -37,6 +39,8 @@ from brindle.llm.common import written
 
 SKETCH_BITS = 20
 SLICES = 64
+CELLS = 256
+_PARITY = [f"s{k}" for k in range(CELLS // 64)]
 BLOCK = 2 << 20
 
 _U = np.uint64
@@ -162,19 +166,21 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, f1 and f2 (digest of the set) and prefix of each row, written."""
+    """doc_id, n, f1 and f2 (digest of the set), prefix and parities of each row, written."""
     common = docs.sparkSession.sparkContext.broadcast(sketch(docs))
     least = min(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, low = common.value, _U((1 << SKETCH_BITS) - 1)
         for batch in batches:
-            n, f1, f2, prefixes = [], [], [], []
+            n, f1, f2, prefixes, parity = [], [], [], [], []
             for words in text_words(batch.column(1)):
                 own, at = np.unique(shingles(words, size), return_index=True)
                 n.append(len(own))
                 f1.append(int(np.sum(_mix(own), dtype=_U)))
                 f2.append(int(np.sum(_mix(own * _U(0xC2B2AE3D27D4EB4F)), dtype=_U)))
+                odd = np.bincount((own & _U(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+                parity.append(np.packbits(odd.astype(bool)).view("<i8"))
                 if len(own) < least:
                     prefixes.append(own[:0].view(np.int64))
                     continue
@@ -188,9 +194,9 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             sizes = np.cumsum([0, *map(len, prefixes)])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
             signed = lambda x: pa.array(np.array(x, _U).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(f1), signed(f2), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["doc_id", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(f1), signed(f2), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), *[pa.array(c, pa.int64()) for c in np.array(parity, np.int64).reshape(-1, len(_PARITY)).T]], ["doc_id", "n", "f1", "f2", "prefix", *_PARITY])
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>"), "signatures")
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in _PARITY)), "signatures")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int, most_broadcast: int) -> DataFrame:
@@ -262,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, and component_id for each row of docs (doc_id bigint, text)."""
     signed = signatures(docs, size, percent)
-    reps = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    reps = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _PARITY]), "classes")
 
     entries = reps.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     groups = entries.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(F.col("shingle").alias("_s"), "least")
@@ -278,11 +284,14 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: i
     placed = shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("shingle").alias("_s"))
-    open_ = placed.join(mixed, F.col("shingle") == F.col("_s"), "left_semi")
+    cells = reps.select(F.col("node").alias("_node"), *_PARITY)
+    open_ = written(placed.join(mixed, F.col("shingle") == F.col("_s"), "left_semi").join(cells, F.col("node") == F.col("_node")).drop("_node"), "open")
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _PARITY)
+    apart = f"({apart}) * {100 + percent} <= {100 - percent} * (x.n + y.n)"
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n")
     x = open_.withColumn("band", F.explode(F.array(band, band + 1))).alias("x")
     y = open_.withColumn("band", band).alias("y")
-    second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach)
+    second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach).where(apart)
     more = verified(docs, written(second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs"), size, percent, most_broadcast)
     links = links.union(more)
     if not more.isEmpty():
