@@ -107,8 +107,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def merger(t) -> Callable[[list[str]], list[list[int]]]:
-    """A function from pieces to ids by the merge rules of tokenizer t.
+class Memo(dict):
+    """What a function makes of a piece, made when first asked for; one generation of at most about most pieces is kept besides the present one."""
+
+    def __init__(self, make: Callable[[str], object], most: int = MOST_PIECES):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, piece: str):
+        made = self[piece] = self.old[piece] if piece in self.old else self.make(piece)
+        return made
+
+    def rest(self) -> None:
+        """Called between batches: starts a new generation when the present one is full."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+def merge_one(t) -> Callable[[str], list[int]]:
+    """A function from a piece to its ids by the merge rules of tokenizer t.
 
     Plain words go straight to the merges; other pieces take the whole way
     through normaliser, splitter and merges.
@@ -116,31 +134,34 @@ def merger(t) -> Callable[[list[str]], list[list[int]]]:
     gc.disable()  # nothing here is circular, and the many small lists would set it off again and again
     tokenize, letters = t.model.tokenize, byte_letters()
     small = t.normalizer is not None  # the word vocabulary's puts letters in lower case, and its splitter drops spaces
-    marks: dict[str, list[int]] = {"": []}
+    marks = Memo(lambda mark: t.encode(mark, add_special_tokens=False).ids, MOST_MARKS)
     match = PLAIN.fullmatch
 
+    def one(piece: str) -> list[int]:
+        if not (m := match(piece)):
+            return t.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+        space, word, mark = m.groups()
+        if small:
+            word, space = word.lower(), ""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(letters)
+        ids = [x.id for x in tokenize("\u0120" + word if space else word)]
+        if mark:
+            marks.rest()
+            ids += marks[mark]
+        return ids
+
+    return one
+
+
+def merger(t) -> Callable[[list[str]], list[list[int]]]:
+    """merge_one() for many pieces at once."""
+    one, match = merge_one(t), PLAIN.fullmatch
+
     def of(batch: list[str]) -> list[list[int]]:
-        out: list = []
-        other = []
-        for p in batch:
-            if not (m := match(p)):
-                other.append(len(out))
-                out.append(p)
-                continue
-            space, word, mark = m.groups()
-            if small:
-                word, space = word.lower(), ""
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(letters)
-            ids = [x.id for x in tokenize("\u0120" + word if space else word)]
-            if mark:
-                if mark not in marks:
-                    if len(marks) > MOST_MARKS:
-                        marks.clear()
-                    marks[mark] = t.encode(mark, add_special_tokens=False).ids
-                ids += marks[mark]
-            out.append(ids)
-        for i, e in zip(other, t.encode_batch_fast([out[i] for i in other], add_special_tokens=False), strict=True):
+        out: list = [one(p) if match(p) else None for p in batch]
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(other, t.encode_batch_fast([batch[i] for i in other], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
 

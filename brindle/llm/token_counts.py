@@ -1,8 +1,8 @@
 """Token counts: texts are encoded in batches inside an Arrow function, and only lengths come back.
 
 A text is cut at white space, which no token of the word vocabulary crosses,
-so a text of any length is encoded in bounded batches. Distinct pieces of a
-batch are encoded once. sentencepiece models (.model) take whole lines of at
+so a text of any length is encoded in bounded batches (of about CHUNK_CHARS
+characters). A piece that was met lately is not encoded again. sentencepiece models (.model) take whole lines of at
 most BATCH_BYTES; their pieces may cross white space, so texts are not cut.
 
 Null counts as empty: no bytes, no tokens. Rows are independent; repeated
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.pieces import Pieces, chunks, kept, merger, spaced, tokenizer
+from brindle.llm.pieces import Memo, chunks, kept, merge_one, spaced, tokenizer
 
 
 def lengths(path: str):
@@ -27,13 +27,12 @@ def lengths(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     t = tokenizer(path)
-    merged = merger(t)
-    pieces = Pieces(lambda batch: list(map(len, merged(batch))))
+    one = merge_one(t)
+    known = Memo(lambda piece: len(one(piece)))
 
     def of(texts: list[str]) -> list[int]:
-        cut = [spaced(x) for x in texts]
-        known = pieces.learn(set().union(*cut))
-        return [sum(map(known.__getitem__, words)) for words in cut]
+        known.rest()
+        return [sum(map(known.__getitem__, spaced(x))) for x in texts]
 
     return of
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import shared_path, written
-from brindle.llm.pieces import Pieces, chunks, kept, merger, tokenizer
+from brindle.llm.pieces import Memo, chunks, kept, merge_one, tokenizer
 
 PART = "part int, file string, n_docs bigint, n_null bigint, n_tokens bigint, width int"
 
@@ -42,30 +42,32 @@ def id_bytes(path: str, kind: str):
     whole.
     """
     t = tokenizer(path)
-    merged, unit = merger(t), "H" if kind == "<u2" else "I"
+    one, unit = merge_one(t), "H" if kind == "<u2" else "I"
 
-    def make(batch: list[str]) -> list[bytes | None]:
-        safe = [p == "\n" or bool(p) and not (p[1:2].isspace() if p[0] == " " else p[0].isspace()) and not p[-1].isspace() for p in batch]
-        made = iter(merged([p for p, ok in zip(batch, safe, strict=True) if ok]))
-        return [pack(f"<{len(ids)}{unit}", *ids) if ok and (ids := next(made)) is not None else None for ok in safe]
+    def packed(ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}{unit}", *ids)
 
-    pieces = Pieces(make)
+    def safe(piece: str) -> bool:
+        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+
+    later = Memo(lambda w: packed(one(f" {w}")) if safe(w) else None)  # words after a space
+    first = Memo(lambda w: packed(one(w)) if safe(w) else None)  # words at the start of a line
+    end = packed(one("\n"))
+    get, get_first = later.__getitem__, first.__getitem__
 
     def of(texts: list[str]) -> list[bytes]:
-        cut = []
-        for x in texts:
-            words = []
-            for line in x.split("\n"):
-                first, *rest = line.split(" ")
-                words += [first, *[f" {w}" for w in rest], "\n"]
-            cut.append(words[:-1])
-        known = pieces.learn(set().union(*cut))
+        later.rest()
+        first.rest()
         out = []
-        for x, words in zip(texts, cut, strict=True):
+        for x in texts:
             try:
-                out.append(b"".join(map(known.__getitem__, words)) if x else b"")
+                lines = []
+                for line in x.split("\n") if x else ():
+                    word, *rest = line.split(" ")
+                    lines.append(get_first(word) + b"".join(map(get, rest)))
+                out.append(end.join(lines))
             except TypeError:  # a piece that isn't safe
-                out.append(np.array(t.encode(x, add_special_tokens=False).ids, kind).tobytes())
+                out.append(packed(t.encode(x, add_special_tokens=False).ids))
         return out
 
     return of
