@@ -33,6 +33,7 @@ from brindle.llm.lexicon import Lexicon, build, save
 from brindle.llm.pieces import Pieces, chunks, kept, merger, spaced, tokenizer
 
 _MAPPED: dict[str, Lexicon] = {}
+_ADDED: set[tuple[str, str]] = set()
 
 
 def frequent_words(docs: DataFrame, most_words: int, least_count: int) -> list[str]:
@@ -65,7 +66,10 @@ def compiled(docs: DataFrame, path: str, most_words: int = 60_000, least_count:
     with open(file, "rb") as f:
         name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}"
     os.rename(file, f"{folder}/{name}")
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, name) not in _ADDED:  # a name stands for its content, and can be added once
+        context.addFile(f"{folder}/{name}")
+        _ADDED.add((context.applicationId, name))
     return name
 
 
