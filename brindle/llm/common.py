@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SPACED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[0-9a-z\x80-\x{10FFFF}]+"
 
+_PATHS: dict[int, str] = {}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,7 +47,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() made, once nothing reads it any more: jobs that did are over."""
+    for df in tables:
+        spark, path = df.sparkSession, _PATHS[id(df)]
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def lowered(text: Column) -> Column:

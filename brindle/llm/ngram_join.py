@@ -35,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import written
+from brindle.llm.common import dropped, written
 
 SKETCH_BITS = 20
 SLICES = 64
-CELLS = 256
+CELLS = 1024
+FOLDS = 4
 _PARITY = [f"s{k}" for k in range(CELLS // 64)]
 BLOCK = 2 << 20
 
@@ -228,8 +229,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (both - same)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, most_broadcast: int) -> DataFrame:
-    """The pairs (a, b) that reach percent, written. Each pair is compared once."""
+def _apart(x: list[str], y: list[str], n: str, percent: int) -> str:
+    """Whether unlike parities in these columns are few enough for sets of n members in all."""
+    return f"({' + '.join(f'bit_count({a} ^ {b})' for a, b in zip(x, y, strict=True))}) * {100 + percent} <= {100 - percent} * ({n})"
+
+
+def verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, size: int, percent: int, most_broadcast: int) -> DataFrame:
+    """The pairs (a, b) that reach percent, written. Each pair passes the suffix filter and is then compared once."""
+    side = lambda s: cells.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in _PARITY])
+    near = _apart([f"{c}a" for c in _PARITY], [f"{c}b" for c in _PARITY], "na + nb", percent)
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near")
     nodes = written(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct(), "nodes")
     sets = written(_sets(docs, nodes, size, most_broadcast), "sets")
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
@@ -244,7 +253,9 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, most_br
             keep = pa.array([similar(x, y, percent) for x, y in zip(lists(2), lists(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return written(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = written(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    dropped(pairs, nodes, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,39 +278,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, and component_id for each row of docs (doc_id bigint, text)."""
-    signed = signatures(docs, size, percent)
-    reps = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _PARITY]), "classes")
+    whole = signatures(docs, size, percent)
+    reps = written(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in _PARITY]), "classes")
+    signed = written(whole.select("doc_id", "n", "f1", "f2"), "digests")
+    dropped(whole)
 
     entries = reps.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    groups = entries.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(F.col("shingle").alias("_s"), "least")
-    shared = written(entries.join(groups, F.col("shingle") == F.col("_s")).select("shingle", "node", "n", "pos", "least"), "entries")
+    several = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("shingle").alias("_s")), "shingles")
+    known = F.broadcast(several) if several.count() <= most_broadcast else several
+    found = written(entries.join(known, F.col("shingle") == F.col("_s"), "left_semi").select("shingle", "node", "n", "pos"), "found")
+    cells = written(reps.select("node", "n", "f1", "f2", "copies", *_PARITY), "cells")
+    dropped(reps, several)
+    least = found.groupBy("shingle").agg(F.min("node").alias("least")).select(F.col("shingle").alias("_s"), "least")
+    shared = written(found.join(least, F.col("shingle") == F.col("_s")).select("shingle", "node", "n", "pos", "least"), "entries")
+    dropped(found)
 
     # What two sets can still share from here on must reach the overlap that percent asks of their sizes.
-    reach = "least(x.n, y.n) * 100 >= {p} * greatest(x.n, y.n) AND (1 + least(x.n - x.pos, y.n - y.pos) - 1 + least(x.pos, y.pos)) * (100 + {p}) >= {p} * (x.n + y.n)".format(p=percent)
+    reach = "least(x.n, y.n) * 100 >= {p} * greatest(x.n, y.n) AND (least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)) * (100 + {p}) >= {p} * (x.n + y.n)".format(p=percent)
     x, y = shared.alias("x"), shared.where("node = least").alias("y")
     first = x.join(y, F.expr("x.shingle = y.shingle AND x.node <> y.node")).where(reach)
-    links = verified(docs, written(first.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs"), size, percent, most_broadcast)
+    links = verified(docs, first.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), cells, size, percent, most_broadcast)
     parts = components(links)
 
-    placed = shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-    placed = written(placed, "placed")
+    placed = written(shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")), "placed")
+    dropped(shared)
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("shingle").alias("_s"))
-    cells = reps.select(F.col("node").alias("_node"), *_PARITY)
-    open_ = written(placed.join(mixed, F.col("shingle") == F.col("_s"), "left_semi").join(cells, F.col("node") == F.col("_node")).drop("_node"), "open")
-    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _PARITY)
-    apart = f"({apart}) * {100 + percent} <= {100 - percent} * (x.n + y.n)"
+    folds = [F.expr(" ^ ".join(_PARITY[k::FOLDS])).alias(f"q{k}") for k in range(FOLDS)]  # the parities of coarser cells
+    open_ = placed.join(mixed, F.col("shingle") == F.col("_s"), "left_semi").join(cells.select(F.col("node").alias("_node"), *folds), F.col("node") == F.col("_node")).drop("_node")
+    open_ = written(open_, "open")
+    dropped(placed)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n")
     x = open_.withColumn("band", F.explode(F.array(band, band + 1))).alias("x")
     y = open_.withColumn("band", band).alias("y")
-    second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach).where(apart)
-    more = verified(docs, written(second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs"), size, percent, most_broadcast)
-    links = links.union(more)
+    second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach)
+    second = second.where(_apart([f"x.q{k}" for k in range(FOLDS)], [f"y.q{k}" for k in range(FOLDS)], "x.n + y.n", percent))
+    more = verified(docs, second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), cells, size, percent, most_broadcast)
+    dropped(open_)
     if not more.isEmpty():
-        parts = components(links)
+        parts = components(links.union(more))
 
-    grouped = reps.select("f1", "f2", "node", "copies").join(parts, "node", "left").where("copies > 1 OR comp IS NOT NULL")
-    named = grouped.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("comp", "node").alias("comp"))
-    out = signed.select("doc_id", "n", "f1", "f2").join(named, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    grouped = cells.select("f1", "f2", "node", "copies").join(parts, "node", "left").where("copies > 1 OR comp IS NOT NULL")
+    named = written(grouped.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("comp", "node").alias("comp")), "named")
+    dropped(cells, links, more)
+    out = signed.join(named, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
