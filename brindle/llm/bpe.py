@@ -94,7 +94,7 @@ def encoder(path: str, name: str):
             out[i] = pack(f"<{len(ids)}I", *ids)
         return out
 
-    pieces = Pieces(make)
+    pieces = Pieces(make, 100_000)
 
     def of(texts: list[str]) -> list[bytes]:
         cut = [spaced(x) for x in texts]
@@ -121,7 +121,7 @@ def encode_decode(docs: DataFrame, path: str, most_words: int = 60_000, digests:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = decode = None
         for batch in batches:
-            encode, decode = encode or kept(("bpe", path, name), lambda: encoder(path, name)), decode or kept(("text", path), lambda: decoder(path))
+            encode, decode = encode or encoder(path, name), decode or kept(("text", path), lambda: decoder(path))
             texts = batch.column(1).to_pylist()
             for at, part in chunks(texts):
                 ids = encode(part)

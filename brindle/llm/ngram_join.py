@@ -42,7 +42,7 @@ SLICES = 64
 CELLS = 1024
 FOLDS = 4
 _PARITY = [f"s{k}" for k in range(CELLS // 64)]
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 _U = np.uint64
 
