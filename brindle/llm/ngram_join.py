@@ -11,10 +11,12 @@ shingles reaches percent / 100.
    Equal sets become one class, so copies meet no join.
    The suffix filter is a bound on the sets' Hamming distance: members fall
    into CELLS cells by hash, and cells of unlike parity differ at least once.
-3. Prefix entries whose shingle occurs in one class only go. In each group of
-   a shingle, all others are paired with the group's least member, filtered
-   by length and position, verified once per pair on whole sets after a
-   suffix filter, and joined into components.
+   Pairs that pass meet the same bound with cells by the size of their sets,
+   and then the sets themselves.
+3. Prefix entries are dealt once by shingle, and those whose shingle occurs in
+   one class only go. In each group of a shingle, all others are paired with
+   the group's least member, filtered by length and position, verified once
+   per pair on whole sets after a suffix filter, and joined into components.
 4. What remains are shingles in several components: there all pairs of
    different components that pass the length, position and suffix filters
    are made, verified once, and the components are joined. A pair within one component
@@ -200,19 +202,40 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in _PARITY)), "signatures")
 
 
+def fine_cells(own: np.ndarray) -> bytes:
+    """The parities of cells by hash, four to eight cells for each member."""
+    m = max(64, 1 << (4 * len(own) - 1).bit_length())
+    odd = np.bincount((own & _U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """How many members are in one of two sets only, at least; the finer cells are folded to the coarser."""
+    x, y = (np.frombuffer(c, np.uint8) for c in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+def _most_apart(both: int, percent: int) -> int:
+    """The most members that may be in one set only, of sets that have so many in all."""
+    return both - 2 * -(-percent * both // (100 + percent))
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, size: int, most_broadcast: int) -> DataFrame:
-    """node and set of the documents among nodes."""
+    """node, its set, and the set's size and fine_cells(), of the documents among nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.unique(shingles(w, size)).view(np.int64) for w in text_words(batch.column(1))]
             sizes = np.cumsum([0, *map(len, own)])
             flat = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["node", "set"])
+            fine = pa.array([fine_cells(x.view(_U)) for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(sizes), pa.int64()), fine, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["node", "m", "fine", "set"])
 
     if nodes.count() <= most_broadcast:
         nodes = F.broadcast(nodes)
-    return docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("_node"), "left_semi").mapInArrow(run, "node bigint, set array<bigint>")
+    return docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("_node"), "left_semi").mapInArrow(run, "node bigint, m bigint, fine binary, set array<bigint>")
 
 
 _PIVOTS = np.arange(1, 64, dtype=_U) << _U(58)
@@ -221,7 +244,7 @@ _PIVOTS = np.arange(1, 64, dtype=_U) << _U(58)
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach percent, after a filter on how many members each has between fixed pivots."""
     both = len(a) + len(b)
-    apart = both - 2 * -(-percent * both // (100 + percent))  # most members that may be in one set only
+    apart = _most_apart(both, percent)
     if np.abs(np.diff(np.searchsorted(a, _PIVOTS), prepend=0, append=0)[:-1] - np.diff(np.searchsorted(b, _PIVOTS), prepend=0, append=0)[:-1]).sum() > apart:
         return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
@@ -235,13 +258,24 @@ def _apart(x: list[str], y: list[str], n: str, percent: int) -> str:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, size: int, percent: int, most_broadcast: int) -> DataFrame:
-    """The pairs (a, b) that reach percent, written. Each pair passes the suffix filter and is then compared once."""
+    """The pairs (a, b) that reach percent, written. Each pair passes the suffix filter, coarse and fine, and is then compared once."""
     side = lambda s: cells.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in _PARITY])
     near = _apart([f"{c}a" for c in _PARITY], [f"{c}b" for c in _PARITY], "na + nb", percent)
     pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near")
     nodes = written(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct(), "nodes")
     sets = written(_sets(docs, nodes, size, most_broadcast), "sets")
-    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
+
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        own = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(c + s) for c in columns])
+        return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", *[c + s for c in columns for s in "ab"])
+
+    def pass_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)
+            keep = pa.array([unlike(x, y) <= _most_apart(m + n, percent) for m, n, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    fine = written(with_both(pairs, "m", "fine").mapInArrow(pass_fine, "a bigint, b bigint").distinct(), "fine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +287,8 @@ def verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, size: int, per
             keep = pa.array([similar(x, y, percent) for x, y in zip(lists(2), lists(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    links = written(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
-    dropped(pairs, nodes, sets)
+    links = written(with_both(fine, "set").mapInArrow(run, "a bigint, b bigint"), "links")
+    dropped(pairs, nodes, sets, fine)
     return links
 
 
@@ -283,21 +317,16 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: i
     signed = written(whole.select("doc_id", "n", "f1", "f2"), "digests")
     dropped(whole)
 
-    entries = reps.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    several = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("shingle").alias("_s")), "shingles")
-    known = F.broadcast(several) if several.count() <= most_broadcast else several
-    found = written(entries.join(known, F.col("shingle") == F.col("_s"), "left_semi").select("shingle", "node", "n", "pos"), "found")
+    entries = reps.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition("shingle")  # one exchange for both uses
+    several = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("least"), F.min_by("n", "node").alias("least_n"), F.min_by("pos", "node").alias("least_pos")).where("_c > 1")
+    shared = written(entries.join(several.drop("_c"), "shingle"), "entries")
     cells = written(reps.select("node", "n", "f1", "f2", "copies", *_PARITY), "cells")
-    dropped(reps, several)
-    least = found.groupBy("shingle").agg(F.min("node").alias("least")).select(F.col("shingle").alias("_s"), "least")
-    shared = written(found.join(least, F.col("shingle") == F.col("_s")).select("shingle", "node", "n", "pos", "least"), "entries")
-    dropped(found)
+    dropped(reps)
 
     # What two sets can still share from here on must reach the overlap that percent asks of their sizes.
-    reach = "least(x.n, y.n) * 100 >= {p} * greatest(x.n, y.n) AND (least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)) * (100 + {p}) >= {p} * (x.n + y.n)".format(p=percent)
-    x, y = shared.alias("x"), shared.where("node = least").alias("y")
-    first = x.join(y, F.expr("x.shingle = y.shingle AND x.node <> y.node")).where(reach)
-    links = verified(docs, first.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), cells, size, percent, most_broadcast)
+    reach = "least({x}n, {y}n) * 100 >= {p} * greatest({x}n, {y}n) AND (least({x}n - {x}pos, {y}n - {y}pos) + least({x}pos, {y}pos)) * (100 + {p}) >= {p} * ({x}n + {y}n)"
+    first = shared.where("node <> least").where(reach.format(x="", y="least_", p=percent)).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    links = verified(docs, first, cells, size, percent, most_broadcast)
     parts = components(links)
 
     placed = written(shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")), "placed")
@@ -310,7 +339,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: i
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n")
     x = open_.withColumn("band", F.explode(F.array(band, band + 1))).alias("x")
     y = open_.withColumn("band", band).alias("y")
-    second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach)
+    second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach.format(x="x.", y="y.", p=percent))
     second = second.where(_apart([f"x.q{k}" for k in range(FOLDS)], [f"y.q{k}" for k in range(FOLDS)], "x.n + y.n", percent))
     more = verified(docs, second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), cells, size, percent, most_broadcast)
     dropped(open_)
