@@ -17,6 +17,7 @@ SPACED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[0-9a-z\x80-\x{10FFFF}]+"
 
 _PATHS: dict[int, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,9 +45,17 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage, and survives lost executors.
+
+    The shuffle files of the job go when it is over; until then lost ones can be made again.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
