@@ -59,6 +59,18 @@ def test_ngram_join(docs, empty, size, percent):
     assert ngram_join.classes(empty, size, percent).count() == 0
 
 
+def test_fine_cells_never_exceed_the_distance():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((0, 0, 0), (0, 9, 0), (5, 400, 3), (900, 1000, 850), (3000, 20, 20), (4000, 4000, 3900)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = pool[:n], pool[n - both : n - both + m]
+        apart = len(np.setxor1d(a, b))
+        got = ngram_join.unlike(ngram_join.fine_cells(a), ngram_join.fine_cells(b))
+        assert got <= apart
+        if n == m:
+            assert got > 0.6 * apart
+
+
 def test_decontaminate(spark, docs, empty):
     items = spark.createDataFrame([(1, PROSE[:80], 0), (2, "lazy dog", 0), (2, None, 0), (3, "", 0), (None, "absent words only", 0)], "item_id bigint, text string, doc_id int")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
