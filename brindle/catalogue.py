@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import clean, normalize, text
-from brindle.operators import answers, frame, graph, keys, linking, profile, retrieve
+from brindle.operators import answers, audit, frame, graph, keys, linking, profile, retrieve
 from brindle.plans import dialect
 from brindle.plans.ir import Plan, Step, lower
 from brindle.sources import readers
@@ -406,9 +406,9 @@ def unpivot_distinct(t):
     return profile.distinct_cells({"nation": t.nation, "region": t.region})
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
 def drop_null_columns(t):
-    return frame.without_null_columns(t.orders.where("o_orderkey < 500").select("o_orderkey", F.lit(None).cast("string").alias("nothing"), "o_orderstatus"))
+    return frame.without_null_columns(t.orders.select("o_orderkey", F.lit(None).cast("string").alias("nothing"), "o_orderstatus"))
 
 
 # --- schema, keys, linking
@@ -496,10 +496,10 @@ def correct_to_contains(t):
     return linking.contains_instead(t.spark.createDataFrame([("Customer 00012",), ("ab cd",)], "value string"), _names(t))
 
 
-@query("""SELECT 'nation.n_name' AS left_column, 'copy.name' AS right_column, count(DISTINCT f) AS n_common, min(f) AS example FROM (SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS f FROM nation WHERE n_nationkey < 9)""")
+@query("""SELECT 'nation.n_name' AS left_column, 'copy.name' AS right_column, count(DISTINCT f) AS n_common, min(f) AS example FROM (SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS f FROM nation)""")
 def link_exact(t):
     a = profile.cells(t.nation.select("n_name"), "nation").withColumn("source_id", F.lit(1))
-    b = profile.cells(t.nation.where("n_nationkey < 9").select(F.replace(c("n_name"), F.lit("_"), F.lit("-")).alias("name")), "copy").withColumn("source_id", F.lit(2))
+    b = profile.cells(t.nation.select(F.replace(c("n_name"), F.lit("_"), F.lit("-")).alias("name")), "copy").withColumn("source_id", F.lit(2))
     return linking.link_exact(a.unionByName(b))
 
 
@@ -686,9 +686,9 @@ def kg_cvt_join(t):
     return graph.two_hops(_triples(t), "in_nation", "in_region")
 
 
-@query("SELECT c_name AS s, coalesce(n_name, 'm.n' || CAST(c_nationkey AS VARCHAR)) AS o FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+@query("SELECT c_name AS s, coalesce(n_name, 'm.n' || CAST(c_nationkey AS VARCHAR)) AS o FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def kg_id_to_name(t):
-    names = t.nation.where("n_nationkey < 20").select(F.concat(F.lit("m.n"), c("n_nationkey").cast("string")).alias("id"), c("n_name").alias("name"), c("n_nationkey").alias("pos"))
+    names = t.nation.select(F.concat(F.lit("m.n"), c("n_nationkey").cast("string")).alias("id"), c("n_name").alias("name"), c("n_nationkey").alias("pos"))
     return graph.id_to_name(_triples(t).where("p = 'in_nation'").select("s", "o"), "o", names)
 
 
@@ -739,8 +739,8 @@ def resume_pending(t):
 # --- scoring
 
 
-_PRED = "(SELECT conv_id AS example_id, role AS a, length(text) % 5 AS b FROM conversations WHERE turn % 3 <> 1)"
-_GOLD = "(SELECT conv_id AS example_id, role AS a, length(text) % 5 AS b FROM conversations WHERE turn % 3 <> 2)"
+_SIDE = "(SELECT conv_id AS example_id, CASE WHEN turn < {} THEN 'opening' ELSE role END AS a, length(text) % 5 AS b FROM conversations)"
+_PRED, _GOLD = _SIDE.format(1), _SIDE.format(2)
 
 
 def _score_sql(item: str) -> str:
@@ -751,8 +751,11 @@ def _score_sql(item: str) -> str:
 
 
 def _sides(t, item):
-    d = t.conversations.select(c("conv_id").alias("example_id"), "turn", c("role").alias("a"), (F.length("text") % 5).alias("b"))
-    side = lambda k: d.where(c("turn") % 3 != k).select("example_id", item(d).alias("item"))
+    def side(k):
+        a = F.when(c("turn") < k, "opening").otherwise(c("role"))
+        d = t.conversations.select(c("conv_id").alias("example_id"), a.alias("a"), (F.length("text") % 5).alias("b"))
+        return d.select("example_id", item(d).alias("item"))
+
     return side(1), side(2)
 
 
@@ -784,6 +787,147 @@ def gold_nested(t):
     return parsed.select("id", F.explode(F.get("r.Parses", F.lit(0))["Answers"]["AnswerArgument"]).alias("answer"))
 
 
+@query(_score_sql("a || ' ' || CAST(b AS VARCHAR)"))
+def eval_casefold_set(t):
+    shouted = lambda d: answers.casefold_item([F.concat(F.lit(" "), F.upper("a")), c("b")])
+    return answers.score(*_sides(t, shouted))
+
+
+@query("SELECT a, b, min(o_orderkey) AS pos FROM (SELECT nullif(o_orderstatus, 'F') AS a, nullif(o_orderpriority, '5-LOW') AS b, o_orderkey FROM orders) WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY a, b")
+def answer_dedupe(t):
+    rows = t.orders.select(F.nullif(c("o_orderstatus"), F.lit("F")).alias("a"), F.nullif(c("o_orderpriority"), F.lit("5-LOW")).alias("b"), c("o_orderkey").alias("pos"))
+    return answers.distinct_rows(rows, "pos")
+
+
+_MARKED = ("Apple###m.0123", "['Apple###m.0123']", "g.11x", "NATION_3", "nobody", "a###b###m.9")
+
+
+@query("SELECT * FROM " + _values("m.0123", "m.0123", "g.11x", "m.n3", "nobody", "m.9").replace("v(id, v)", "v(id, answer)"))
+def answer_ids(t):
+    names = t.nation.select(c("n_name").alias("name"), F.concat(F.lit("m.n"), c("n_nationkey").cast("string")).alias("id"))
+    return answers.restored_ids(_strings(t, *_MARKED), "v", names).select("id", c("v").alias("answer"))
+
+
+# --- more joins, groups and positions
+
+
+@query("""SELECT c_custkey, s_suppkey FROM customer FULL JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey) ON c_nationkey = s_nationkey AND c_acctbal > 0""")
+def join_full(t):
+    first = t.supplier.where("s_acctbal > 0").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+    return t.customer.join(first, (c("c_nationkey") == c("s_nationkey")) & (c("c_acctbal") > 0), "full").select("c_custkey", "s_suppkey")
+
+
+@query("""SELECT a.event_id, b.ts AS last_ts, b.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') a
+    ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+def asof_join(t):
+    clicks = t.events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    bought = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return frame.asof(bought, clicks, ["user_id"], "ts", ["value"], "last_", F.date_trunc("day", "ts")).select("event_id", "last_ts", "last_value")
+
+
+@query("SELECT o_orderkey, n_name FROM orders JOIN nation ON o_totalprice >= n_nationkey * 20000.0 AND o_totalprice < n_nationkey * 20000.0 + 30000.0")
+def range_join(t):
+    bands = t.nation.select("n_name", (c("n_nationkey") * 20000.0).alias("low"), (c("n_nationkey") * 20000.0 + 30000.0).alias("high"))
+    return frame.within(t.orders.select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high", 10000.0).select("o_orderkey", "n_name")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def group_cube(t):
+    return t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().cast("bigint").alias("level"), n())
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
+def group_rollup(t):
+    return t.customer.rollup("c_nationkey", "c_mktsegment").agg(n())
+
+
+@query("SELECT c_nationkey, c_custkey, place FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 5")
+def topk_per_group(t):
+    return frame.largest_of(t.customer, 5, ["c_nationkey"], [F.desc("c_acctbal"), c("c_custkey")], "place").select("c_nationkey", "c_custkey", c("place").cast("bigint").alias("place"))
+
+
+@query("SELECT c_custkey, place FROM (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place FROM customer) WHERE place > 5")
+def rank_direction(t):
+    """Lower than 5th: a larger rank."""
+    w = W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))
+    return t.customer.select("c_custkey", F.rank().over(w).cast("bigint").alias("place")).where("place > 5")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1 OFFSET 7")
+def row_position(t):
+    return frame.row_at(t.orders, 7, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_name, count(*) AS n, string_split(p_name, ' ')[1] AS first_word, array_to_string(list_sort(string_split(p_name, ' ')), '+') AS sorted_words, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n_words, list_contains(string_split(p_name, ' '), 'red') AS is_red FROM part GROUP BY p_name")
+def array_functions(t):
+    words = F.split("p_name", " ")
+    named = t.part.groupBy("p_name").agg(n())
+    return named.select("p_name", "n", F.get(words, F.lit(0)).alias("first_word"), F.array_join(F.array_sort(words), "+").alias("sorted_words"), F.size(words).alias("n_words"), F.array_contains(words, "red").alias("is_red"))
+
+
+# --- more text and cells
+
+_HALVES = {"0.125": 0.12, "0.375": 0.38, "-0.125": -0.12, "1.0": 1.0}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({v!r} AS DOUBLE))" for i, v in enumerate(_HALVES.values())) + ") v(id, rounded)")
+def round_half_even(t):
+    return _strings(t, *_HALVES).select("id", F.bround(c("v").cast("double"), 2).alias("rounded"))
+
+
+_G = {"507.0": "507", "3.10": "3.1", "0.1234567": "0.123457", "1234567.5": "1.23457e+06", "0.000012345678": "1.23457e-05", "abc": "abc", "-0": "-0", " 7 ": "7", "nan": "nan", "1e3": "1000"}
+
+
+@query("SELECT * FROM " + _values(*_G.values()).replace("v(id, v)", "v(id, number)"))
+def numeric_string(t):
+    return _strings(t, *_G).select("id", normalize.numeric_string(c("v")).alias("number"))
+
+
+_NAMED = ("find King Arthur and King", "nothing here")
+
+
+@query("SELECT * FROM " + _values("find m.2 and m.1", "nothing here").replace("v(id, v)", "v(id, code)"))
+def names_to_ids(t):
+    return _strings(t, *_NAMED).select("id", text.names_to_ids(c("v"), {"King": "m.1", "King Arthur": "m.2"}).alias("code"))
+
+
+@query("SELECT v AS value FROM " + _values("BUILDING", "x", "FURNITURE") + " WHERE length(trim(v)) >= 2 AND NOT contains('df[df.segment == ''BUILDING'']', trim(v))")
+def missing_values(t):
+    return linking.unused(_strings(t, "BUILDING", "x", "FURNITURE").select(c("v").alias("value")), "df[df.segment == 'BUILDING']")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_totalprice AS DOUBLE) AS price, 'x 12:30' AS kept FROM orders")
+def clean_table(t):
+    d = t.orders.select("o_orderkey", F.date_format("o_orderdate", "MMMM d, yyyy").alias("day"), F.concat(F.lit("$"), c("o_totalprice").cast("decimal(18,2)").cast("string")).alias("price"), F.lit("x 12:30").alias("kept"))
+    done = profile.cleaned(d, ["o_orderkey"], ["day", "price", "kept"])
+    return done.withColumn("price", c("price").cast("double"))
+
+
+@query("SELECT * FROM (VALUES ('lineitem.a.b.nation', 'nation'), ('region', 'region')) v(file, box)")
+def match_tables(t):
+    files = t.spark.createDataFrame([("lineitem.a.b.nation", 25), ("region", 5), ("x.customer", 0), ("nowhere", 3)], "file string, n_rows int")
+    boxes = t.spark.createDataFrame([("nation",), ("region",), ("customer",)], "box string")
+    return linking.files_of_boxes(files, boxes)
+
+
+# --- releases
+
+
+@query("""SELECT 'nation' AS dataset, count(*) AS n_records, 25 AS expected, count(*) = 25 AS complete FROM nation UNION ALL SELECT 'region', count(*), 6, count(*) = 6 FROM region""")
+def dataset_complete(t):
+    return audit.complete({"nation": (t.nation, 25), "region": (t.region, 6)})
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS question FROM events")
+def release_projection(t):
+    return audit.projected(t.events.select("event_id", c("event_type").alias("question"), "props"), ["id", "question"], "event_id")
+
+
+@query("SELECT 'k' AS key, count(*) AS n FROM events WHERE json_exists(props, '$.k')")
+def forbidden_keys(t):
+    return audit.nested_keys(t.events, "props", ["k", "sql", "answer"])
+
+
 # --- SQL surface
 
 

@@ -43,3 +43,13 @@ def answer(c: Column) -> Column:
     v = F.regexp_replace(c, "T00:00:00$", "")
     v = F.regexp_replace(v, r"(\d{2}:\d{2}:\d{2})\.0$", "$1")
     return F.regexp_replace(v, r"^(-?\d+)\.0+$", "$1")
+
+
+def numeric_string(c: Column) -> Column:
+    """A number without needless zeros: whole ones as such, others with six significant digits; other text as it is."""
+    v = F.trim(c)
+    n = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v).try_cast("double")
+    whole = (n == F.floor(n)) & (F.abs(n) < 1e38)
+    shown = F.format_string("%.6g", n)
+    short = F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when((n == 0) & v.startswith("-"), "-0").when(whole, n.cast("decimal(38,0)").cast("string")).when(n.isNotNull() & ~whole, short).otherwise(c)

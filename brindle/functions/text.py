@@ -66,3 +66,10 @@ def pattern_labels(c: Column) -> Column:
     }
     found = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
     return F.when(F.size(found) > 0, F.array_sort(found)).otherwise(F.array(F.lit("basic")))
+
+
+def names_to_ids(c: Column, ids: dict[str, str]) -> Column:
+    """Names of one question in a text become their ids, longer names first."""
+    for name in sorted(ids, key=len, reverse=True):
+        c = F.replace(c, F.lit(name), F.lit(ids[name]))
+    return c

@@ -56,3 +56,26 @@ def vote_shares(votes: DataFrame) -> DataFrame:
     every = Window.partitionBy("example_id")
     label = F.when(F.col("hash").isNull(), F.lit("failed")).otherwise(F.concat(F.lit("vote_"), F.col("_v").cast("string")))
     return per.select("example_id", label.alias("label"), F.round(F.col("n") * 100.0 / F.sum("n").over(every), 4).alias("percentage"))
+
+
+def casefold_item(columns: list[Column]) -> Column:
+    """A row as one string of trimmed small letters: order counts."""
+    return F.to_json(F.array(*[F.replace(F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("None")))), F.lit("ß"), F.lit("ss")) for c in columns]))
+
+
+def distinct_rows(rows: DataFrame, pos: str) -> DataFrame:
+    """Rows that are not all null, each once, with its first pos."""
+    columns = [c for c in rows.columns if c != pos]
+    return rows.dropna(how="all", subset=columns).groupBy(*columns).agg(F.min(pos).alias(pos))
+
+
+def restored_ids(df: DataFrame, column: str, names: DataFrame, most_names: int = 100_000) -> DataFrame:
+    """column as ids: what follows the last ###, else an id as it is, else the id of a name (names has name and id), else the text. Rows left empty after ### go."""
+    bare = F.trim(F.regexp_replace(F.col(column), r"[\[\]'\"]", ""))
+    known = names.groupBy(F.col("name").alias("_name")).agg(F.max("id").alias("_id"))
+    if known.limit(most_names + 1).count() <= most_names:
+        known = F.broadcast(known)
+    joined = df.withColumn("_bare", bare).join(known, F.col("_bare") == F.col("_name"), "left")
+    marked, is_id = F.col("_bare").contains("###"), F.col("_bare").rlike(r"^[mg]\.\w+")
+    found = F.when(marked, F.trim(F.substring_index("_bare", "###", -1))).when(is_id, F.col("_bare")).otherwise(F.coalesce("_id", "_bare"))
+    return joined.withColumn(column, found).where(~(marked & (F.col(column) == ""))).drop("_bare", "_name", "_id")

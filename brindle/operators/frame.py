@@ -75,3 +75,55 @@ def without_null_columns(df: DataFrame) -> DataFrame:
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]).first()
     kept = [c for c in df.columns if counts[c]]
     return df.select(*kept) if kept else df
+
+
+def row_at(df: DataFrame, i: int, position: list[str]) -> DataFrame:
+    """The row at place i (from 0) by position."""
+    return df.orderBy(*position).offset(i).limit(1)
+
+
+def largest_of(df: DataFrame, n: int, keys: list[str], position: list[Column], place: str) -> DataFrame:
+    """The first n rows of each group by position, numbered in place; Spark limits groups before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*position)
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n)
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str], prefix: str, cell: Column) -> DataFrame:
+    """Each row of left with the last row of right of equal keys that is not after it.
+
+    cell, a function of at that never falls while at grows, parts a key's
+    rows: within a cell both sides are one sorted run, and each cell gets the
+    last row of the cells before. So no pairs are made, and a hot key is as
+    many tasks as it has cells. right has one row for each key and time. Null
+    keys or times match nothing.
+    """
+    taken = F.struct(F.col(at), *values)
+    kind = right.select(taken.alias("v")).schema["v"].dataType
+    known = F.lit(True)
+    for k in [*keys, at]:
+        known = known & F.col(k).isNotNull()
+    rows = left.select(*keys, at, cell.alias("_cell"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r"), F.lit(1).alias("_side"))
+    found = right.where(known).select(*keys, at, cell.alias("_cell"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), taken.alias("_r"), F.lit(0).alias("_side"))
+    both = rows.unionByName(found)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*keys, "_cell").agg(F.max(F.when(F.col("_side") == 0, F.col(at))).alias("_last"), F.max_by("_r", F.when(F.col("_side") == 0, F.col(at))).alias("_r"))
+    carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_kc"), F.last(F.when(F.col("_last").isNotNull(), F.col("_r")), ignorenulls=True).over(before).alias("_before"))
+    own = both.withColumn("_v", F.last("_r", ignorenulls=True).over(inside)).where("_side = 1")
+    on = F.col("_cell") == F.col("_kc")
+    for i, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"_k{i}"))
+    last = F.coalesce("_v", "_before")
+    return own.join(carried.where("_before IS NOT NULL"), on, "left").select("_l.*", *[last[c].alias(f"{prefix}{c}") for c in [at, *values]])
+
+
+def within(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs of points and ranges with low <= value < high.
+
+    Both sides meet in cells of width, so the join is one of equal keys: each
+    point is in one cell, a range in all that it touches. width is about that of a usual range.
+    """
+    cell = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    r = ranges.where(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    p = points.withColumn("_cell", cell(value))
+    return p.join(r, "_cell").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_cell")

@@ -103,3 +103,15 @@ def link_fuzzy(left: DataFrame, right: DataFrame, threshold: float = 0.92) -> Da
     b = right.select(F.col("form").alias("right_form")).distinct().withColumn("_p", F.explode(pieces(F.col("right_form"))))
     pairs = a.join(b, "_p").where(ratio_bound(F.col("left_form"), F.col("right_form")) >= threshold).select("left_form", "right_form").distinct()
     return pairs.withColumn("score", _ratio("left_form", "right_form")).where(F.col("score") >= threshold).select("left_form", "right_form", F.round("score", 4).alias("score"))
+
+
+def unused(values: DataFrame, code: str) -> DataFrame:
+    """Values of two or more characters that a text of code does not hold."""
+    v = F.trim("value")
+    return values.where((F.length(v) >= 2) & ~F.contains(F.lit(code), v)).select("value")
+
+
+def files_of_boxes(files: DataFrame, boxes: DataFrame) -> DataFrame:
+    """file and box: files with rows whose name's last dotted part is a box."""
+    last = files.where("n_rows > 0").select("file", F.substring_index("file", ".", -1).alias("box"))
+    return last.join(boxes.select("box").distinct(), "box").select("file", "box")

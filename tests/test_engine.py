@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import frame, graph, keys, linking
+from brindle.operators import audit, frame, graph, keys, linking
 from brindle.plans.dialect import to_spark
 from brindle.plans.ir import Plan, Refused, Scripted, Step, answer, guarded
 from brindle.sources import readers
@@ -98,3 +98,35 @@ def test_triples_and_checked_copy(spark, tmp_path):
 
 def test_dialect():
     assert to_spark("SELECT IIF(a LIKE 'LIKE', MAX(a, b), 0) FROM \"t\"") == "SELECT if(a ILIKE 'LIKE', greatest(a, b), 0) FROM `t`"
+
+
+def test_asof_takes_the_last_row_not_after(spark):
+    rng = random.Random(5)
+    a = [(i, rng.choice(["x", "y", None]), rng.choice([None, *range(40)])) for i in range(120)]
+    b = [(k, at, f"{k}{at}") for k in ("x", "z", None) for at in rng.sample(range(40), 12)]
+    left, right = spark.createDataFrame(a, "id int, k string, at int"), spark.createDataFrame(b, "k string, at int, v string")
+    for width in (1, 7, 100):
+        got = frame.asof(left, right, ["k"], "at", ["v"], "last_", F.floor(F.col("at") / width))
+        want = {}
+        for i, k, at in a:
+            before = [r for r in b if k is not None and at is not None and r[0] == k and r[1] <= at]
+            want[i] = max(before, key=lambda r: r[1])[1:] if before else (None, None)
+        assert {r.id: (r.last_at, r.last_v) for r in got.collect()} == want
+
+
+def test_ranges_hold_their_low_end_only(spark):
+    points = spark.createDataFrame([(x / 2,) for x in range(-10, 30)] + [(None,)], "x double")
+    spans = [("a", -3.0, 2.5), ("b", 0.0, 0.0), ("c", 1.0, 14.0), ("d", None, 3.0)]
+    got = frame.within(points, spark.createDataFrame(spans, "name string, low double, high double"), "x", "low", "high", 2.0)
+    want = sorted((x / 2, n) for x in range(-10, 30) for n, a, b in spans if a is not None and a <= x / 2 < b)
+    assert sorted((r.x, r.name) for r in got.collect()) == want
+
+
+def test_release_is_written_whole_and_keys_are_found_at_any_depth(spark, tmp_path):
+    df = spark.createDataFrame([("1", None), ("2", "ä"), ("2", "ä")], "id string, question string")
+    made = audit.released(df, str(tmp_path / "out"))
+    assert made["records"] == 3
+    assert str(df.orderBy(F.desc("id")).agg(audit.checksum(df)).first()[0]) == made["checksum"]
+    assert str(df.distinct().agg(audit.checksum(df)).first()[0]) != made["checksum"]
+    rows = spark.createDataFrame([('{"a": {"gold": 1}}',), ('{"a": "gold"}',), ('{"x": [{"gold" : "gold\\\":"}], "gold": 2}',), (None,)], "j string")
+    assert [tuple(r) for r in audit.nested_keys(rows, "j", ["gold", "sql"]).collect()] == [("gold", 2)]
