@@ -11,6 +11,10 @@ import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 BATCH_BYTES = 1 << 20
 CHUNK_CHARS = 2 << 20
 MOST_PIECES = 400_000
@@ -63,6 +67,16 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield at, batch
 
 
+def runs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of texts of about most bytes; a longer text is a slice of its own. Null counts as empty."""
+    texts = texts.fill_null("")
+    group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        if stop > start:
+            yield texts.slice(start, stop - start)
+
+
 def spaced(text: str) -> list[str]:
     """Words between white space, as the word vocabulary's normaliser and splitter see it."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for white space, the vocabulary does not

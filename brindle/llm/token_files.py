@@ -23,52 +23,96 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import shared_path, written
-from brindle.llm.pieces import Memo, chunks, kept, merge_one, tokenizer
+from brindle.llm.pieces import Memo, kept, merge_one, runs, tokenizer
 
+CHUNK_BYTES = 8 << 20
+MOST_WORDS = 600_000
 PART = "part int, file string, n_docs bigint, n_null bigint, n_tokens bigint, width int"
 
 
-def id_bytes(path: str, kind: str):
-    """A function from texts to their ids as bytes of the kind.
+def pack_format(kind: str) -> str:
+    return "<H" if kind == "<u2" else "<I"
+
+
+def encoder(path: str, kind: str):
+    """A function from texts to (ids of each text as counts, ids of all as an array of kind).
 
     Byte-level tokens hold a space only in front, so a text falls apart before
     each single space between two other characters, and around each single
-    line end between two. A text with more white space side by side is encoded
-    whole.
+    line end between two. The texts' words are numbered by Arrow, and each
+    distinct one is looked up once. A text with more white space side by side
+    is encoded whole.
     """
     t = tokenizer(path)
-    one, unit = merge_one(t), "H" if kind == "<u2" else "I"
-
-    def packed(ids: list[int]) -> bytes:
-        return pack(f"<{len(ids)}{unit}", *ids)
-
-    def safe(piece: str) -> bool:
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
-    later = Memo(lambda w: packed(one(f" {w}")) if safe(w) else None)  # words after a space
-    first = Memo(lambda w: packed(one(w)) if safe(w) else None)  # words at the start of a line
+    one, tokenize = merge_one(t), t.model.tokenize
+    form = pack_format(kind)
+    spelled = [pack(form, i) for i in range(t.get_vocab_size(with_added_tokens=True))]
+    packed = lambda ids: b"".join([spelled[i] for i in ids])
+    marks = {m: packed(one(m)) for m in map(chr, range(0x21, 0x7F)) if not m.isalnum() and m != "'"}
+
+    def maker(space: str, letters: str):
+        def made(w: str) -> bytes | None:
+            """The ids of a word; None for one with white space at an end, or none at all."""
+            if w.isascii():
+                if w.isalpha():
+                    return b"".join([spelled[x.id] for x in tokenize(letters + w)])
+                if w[-1:] in marks and w[:-1].isalpha():
+                    return memo[w[:-1]] + marks[w[-1]]
+            return packed(one(space + w)) if w and not w[0].isspace() and not w[-1].isspace() else None
+
+        memo = Memo(made, MOST_WORDS)
+        return memo
+
+    later, first = maker(" ", "\u0120"), maker("", "")  # words after a space, words at the start of a line
     end = packed(one("\n"))
-    get, get_first = later.__getitem__, first.__getitem__
 
-    def of(texts: list[str]) -> list[bytes]:
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         later.rest()
         first.rest()
-        out = []
-        for x in texts:
-            try:
-                lines = []
-                for line in x.split("\n") if x else ():
-                    word, *rest = line.split(" ")
-                    lines.append(get_first(word) + b"".join(map(get, rest)))
-                out.append(end.join(lines))
-            except TypeError:  # a piece that isn't safe
-                out.append(packed(t.encode(x, add_special_tokens=False).ids))
-        return out
+        lines = pc.split_pattern(texts, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        line_at = words.offsets.to_numpy().astype(np.int64)  # the first word of each line, and one more
+        text_at = line_at[lines.offsets.to_numpy()]
+        coded = words.flatten().dictionary_encode()
+        # A word and its place: 0 after a space, 1 first of a text, 2 first of another line.
+        code = coded.indices.to_numpy().astype(np.int64) * 3
+        code[line_at[:-1]] += 2
+        code[text_at[:-1]] -= 1
+        seen = np.zeros(3 * len(coded.dictionary), bool)
+        seen[code] = True
+        used = np.flatnonzero(seen)
+        known = np.zeros(len(seen), np.int32)
+        known[used] = np.arange(len(used))
+        values = coded.dictionary.to_numpy(zero_copy_only=False)[used // 3].tolist()
+        made, odd = [], np.zeros(len(used), bool)
+        for i, (w, place) in enumerate(zip(values, (used % 3).tolist(), strict=True)):
+            m = first[w] if place else later[w]
+            if m is None:
+                odd[i], m = True, b""
+            made.append(end + m if place == 2 else m)
+        # Counts and places stay below 2^31, as an Arrow text does.
+        size = np.fromiter(map(len, made), np.int32, len(made)) // np.dtype(kind).itemsize
+        ids = np.frombuffer(b"".join(made), kind)
+        start = np.cumsum(size, dtype=np.int32) - size
+        word = known[code]
+        n = size[word]
+        at = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=at[1:])
+        out = ids[np.arange(at[-1], dtype=np.int32) + np.repeat(start[word] - at[:-1], n)]
+        bounds = at[text_at]
+        whole = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(odd[word])])[text_at])).tolist()
+        if not whole:
+            return np.diff(bounds).astype(np.int64), out
+        parts = [out[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        for i in whole:
+            parts[i] = np.array(t.encode(texts[i].as_py(), add_special_tokens=False).ids, kind)
+        return np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
 
     return of
 
@@ -82,26 +126,26 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame
         context = TaskContext.get()
         part, of, out = context.partitionId(), None, None
         file = f"{folder}/part-{part:06d}-{context.taskAttemptId()}"
-        end, n_null, sizes, ids = np.array([end_id], kind).tobytes(), 0, [], []
+        n_null, sizes, ids = 0, [], []
         for batch in batches:
             if out is None:
                 where, root = fs.FileSystem.from_uri(folder)
                 where.create_dir(root, recursive=True)
                 name = f"{root}/{file.rpartition('/')[2]}"
-                of, out = kept(("files", path, kind), lambda: id_bytes(path, kind)), where.open_output_stream(f"{name}.bin")
+                of, out = kept(("files", path, kind), lambda: encoder(path, kind)), where.open_output_stream(f"{name}.bin")
             n_null += batch.column(0).null_count
             ids.append(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for _, texts in chunks(batch.column(1).to_pylist()):
-                made = of(texts)
-                sizes.append(np.array([len(x) // len(end) + 1 for x in made], "<i8"))
-                out.write(b"".join(b for x in made for b in (x, end)))
+            for texts in runs(batch.column(1), CHUNK_BYTES):
+                n, made = of(texts)
+                sizes.append(n + 1)
+                out.write(np.insert(made, np.cumsum(n), end_id).astype(kind).tobytes())
         if out is not None:
             out.close()
             size = np.concatenate([np.zeros(1, "<i8"), *sizes])
             for tail, values in (("idx", np.cumsum(size)), ("doc", np.concatenate(ids))):
                 with where.open_output_stream(f"{name}.{tail}") as f:
                     f.write(values.astype("<i8").tobytes())
-            row = [[part], [file], [len(size) - 1], [n_null], [int(size.sum())], [len(end)]]
+            row = [[part], [file], [len(size) - 1], [n_null], [int(size.sum())], [np.dtype(kind).itemsize]]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["part", "file", "n_docs", "n_null", "n_tokens", "width"])
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

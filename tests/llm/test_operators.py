@@ -2,16 +2,18 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import bpe, decontaminate, html, ngram_join, pii, quality, secrets, token_counts, token_files, warc
 from brindle.llm.lexicon import Lexicon, build, save
-from brindle.llm.pieces import tokenizer, vocabulary
+from brindle.llm.pieces import runs, tokenizer, vocabulary
 
 PROSE = "The quick brown fox jumps over the lazy dog while seven wise owls watch quietly from an old tree near our river bank"
 TEXTS = [
@@ -113,6 +115,19 @@ def test_tokens(spark, docs, empty):
     assert bpe.encode_decode(empty, word).count() == token_counts.token_counts(empty, word).count() == token_files.round_trip(spark, empty, byte).count() == 0
 
 
+def test_token_files_encode_odd_texts_like_the_library():
+    t, rng = tokenizer(vocabulary("byte_bpe_50k.json")), random.Random(3)
+    texts = [None, "", " ", "\n", "a\n\nb", "a  b", "a\r\nb", "a\n b", "it's 'tis", "heat, Heat. heat,, \u00e9t\u00e9, \u65e5\u672c \u8a9e", "<|endoftext|> x", "a\u00a0b"]
+    texts += ["".join(rng.choice(["a", "bc", " ", "\n", ".", ",", "\u00e9", "1", "\t", "'s"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for kind, most in (("<u2", 100), ("<u4", 1 << 20)):
+        of = token_files.encoder(vocabulary("byte_bpe_50k.json"), kind)
+        found = [of(run) for run in runs(pa.array(texts), most)]
+        assert np.concatenate([n for n, _ in found]).tolist() == [len(w) for w in want]
+        assert np.concatenate([i for _, i in found]).tolist() == [i for w in want for i in w]
+    assert list(runs(pa.array([], pa.string()), 100)) == []
+
+
 def test_lexicon(tmp_path):
     entries = {w.encode(): [i, i + 1][: i % 3] for i, w in enumerate(["a", "ab", "abc", "bc", "xbc", "ébc", "zz"])}
     arrays = build(entries)
