@@ -5,15 +5,18 @@ and classes. For each node the tree keeps how often which run of child tags
 (presentation) and which own text (content) occurs; from that follow, as
 entropies over the pages that have the node, the importance of its
 presentation (0: all pages alike) and of its content (0: the same texts on
-all pages). A node's importance is the larger of the two for inner nodes and
-that of the content for leaves. Hosts with fewer than least_pages pages at a
-node say nothing about it.
+all pages). A node's own importance is the larger of the two for inner nodes
+and that of the content for leaves; its importance is the largest of its own
+and of all nodes below it, which no weighted sum over the branch exceeds. So
+a branch is low only if it is so throughout: a list, table or wrapper whose
+pages all look alike counts by what stands in it. Hosts with fewer than
+least_pages pages at a node say nothing about it; its text stays.
 
 From each page go: branches whose tag, role or class names them as
 navigation, header, footer, sidebar, notice, advert, form, script, style or
 comments; where the page marks its article or main part, all that is outside;
-and branches of low importance, unless they are text blocks inside the
-article, which repeat between copies of one text. What remains is joined by
+and branches of low importance outside the article or main part, inside of
+which texts repeat between copies of one text. What remains is joined by
 block.
 
 Null html has no text. Repeated rows are told apart; a null or odd url
@@ -39,7 +42,6 @@ from brindle.llm.common import written
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template textarea select button svg iframe object math title"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|replies|disqus|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
@@ -162,14 +164,18 @@ def style_tree(pages: DataFrame, least_pages: int = 10, low: float = 0.3) -> Dat
     m = F.greatest(F.col("look_n"), F.lit(2.0))
     spread = lambda s: (F.log(m) - F.col(f"{s}_log") / m) / F.log(m)  # noqa: E731  entropy of the distribution, in shares of its most
     importance = F.when(F.col("path").rlike(r">(p|h[1-6]|li|a|span|b|i|em|strong|td|th)(\.[^>]*)?$"), spread("text")).otherwise(F.greatest(spread("look"), spread("text")))
-    return per.where((F.col("look_n") >= least_pages) & (importance < low)).groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("low"))
+    known = per.where(F.col("look_n") >= least_pages).select("host", "path", importance.alias("own"))
+    # each node and those above it, whose paths its own begins with
+    names = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(2), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), ">"))
+    branch = known.select("host", F.col("path").alias("_at"), "own", F.explode(above).alias("path")).groupBy("host", "path").agg(F.max("own").alias("most"), F.bool_or(F.col("path") == F.col("_at")).alias("met"))
+    return branch.where(F.col("met") & (F.col("most") < low)).groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("low"))
 
 
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
     blocks: list[tuple[bool, str]] = []  # in the main part, text
     parts: list[str] = []
     main = marked = False
-    drops: list[Node] = []  # open branches of low importance
 
     def flush() -> None:
         s = " ".join("".join(parts).split())
@@ -180,7 +186,7 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
     for kind, x in walk(page):
         if kind == "text":
             node, s = x
-            if not node.noise and not drops:
+            if not node.noise and (node.main or node.path not in low or node.tag in ("html", "body")):
                 if not parts:
                     main = node.main
                 parts.append(entities.unescape(s) if "&" in s else s)
@@ -191,10 +197,6 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
             parts.append(" ")
         if kind == "open":
             marked = marked or x.main and not x.noise
-            if x.path in low and not x.main and x.tag not in ("html", "body") and x.tag not in VOID or x.path in low and x.main and x.tag not in TEXT_BLOCKS and x.tag not in MAIN and x.tag in BLOCK:
-                drops.append(x)
-        elif drops and drops[-1] is x:
-            drops.pop()
     flush()
     return "\n".join(s for inside, s in blocks if inside or not marked)
 

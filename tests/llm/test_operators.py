@@ -194,6 +194,24 @@ def test_warc_and_html(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_containers_that_look_alike_on_all_pages(spark):
+    bodies = {
+        "ul": "<ul><li>{0} one<li>{0} two</ul>", "ol": "<ol><li>{0} one</li></ol>", "table": "<table><tbody><tr><td>{0} a<td>{0} b</table>", "dl": "<dl><dt>{0} term<dd>{0} told</dl>",
+        "section": "<section><p>{0} text</p></section>", "div": "<div class=content><div><p>{0} text<p><b>{0} bold</b></div></div>",
+    }
+    rows, want = [], {}
+    for name, body in bodies.items():
+        for outer in ("<article>{}</article>", "{}"):
+            for k in range(24):
+                i = len(rows)
+                own = body.format(f"{name}{k}")
+                rare = f"<i>rare{k}</i>" if k < 2 else ""
+                rows.append((i, f"http://{name}{len(outer)}.org/{k}", f"<body><div class=top><span>site</span><a>home</a></div>{outer.format(own)}<div class=end>all rights{rare}</div>"))
+                want[i] = [x.strip() for x in re.sub("<[^>]*>", "\n", own).split("\n") if x.strip()] + ([f"rare{k}"] if rare and outer == "{}" else [])
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
