@@ -4,10 +4,12 @@ Patterns give the base spans. The field adds to them: its nodes are a text's
 tokens that hold a digit or @, its labels none and the four kinds. A node's
 potential comes from the token's shape and the words beside it (a linear
 model), neighbours share a potential for their two labels, and tokens that
-repeat or have the same digits, however far apart, share one that prefers
-equal labels. Loopy belief propagation spreads what the base spans assert
-over each document; a node outside all base spans whose belief in a kind
-reaches least_belief is a further span of that kind.
+repeat or have the same digits all hang on one hub, a further node without a
+potential of its own, by one that prefers equal labels; so it does not matter
+how far apart they are or how many stand between. Two tokens on a hub are
+bound as by a link of the trained potential. Loopy belief propagation spreads
+what the base spans assert over each document; a node outside all base spans
+whose belief in a kind reaches least_belief is a further span of that kind.
 
 The field is trained here, on the candidate tokens of the most_documents
 documents of least doc_id that have any, with the base spans as labels; of
@@ -26,6 +28,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -117,21 +120,18 @@ def skip_keys(token: str) -> list[str]:
     return [f"t{token.lower()}", *([f"d{digits}"] if len(digits) >= 6 else [])]
 
 
-def links(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours (at most 12 characters apart), and each token with the next one of a common key."""
+def links(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Neighbours (at most 12 characters apart), and the groups of all tokens of a common key."""
     chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] - tokens[i][1] <= 12]
-    last: dict[str, int] = {}
-    skip = set()
+    of: dict[str, list[int]] = defaultdict(list)
     for i, (a, b) in enumerate(tokens):
         for k in skip_keys(text[a:b]):
-            if k in last:
-                skip.add((last[k], i))
-            last[k] = i
-    return chain, sorted(skip)
+            of[k].append(i)
+    return chain, sorted({tuple(x) for x in of.values() if len(x) > 1})
 
 
-def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
-    """Weights from documents' features, labels, chain and skip links: a softmax of the labels, and smoothed log ratios for the links."""
+def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, ...]]]]) -> dict[str, np.ndarray]:
+    """Weights from documents' features, labels, chain links and groups: a softmax of the labels, and smoothed log ratios for neighbours and for successive tokens of a group."""
     n = len(KINDS) + 1
     x = [f for r in rows for f in r[0]]
     y = np.array([v for r in rows for v in r[1]], np.int64)
@@ -152,15 +152,32 @@ def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], li
     for _, own, chain, skip in rows:
         for i, j in chain:
             pair[own[i], own[j]] += 1
-        for i, j in skip:
+        for i, j in {x for group in skip for x in pairwise(group)}:
             alike[int(own[i] == own[j])] += 1
     chain = np.log(pair / pair.sum()) - np.log(pair.sum(1, keepdims=True) / pair.sum()) - np.log(pair.sum(0, keepdims=True) / pair.sum())
     skip = np.eye(n) * min(4.0, max(0.5, float(np.log(alike[1] / alike[0]))))
     return {"unary": weights, "chain": np.clip(chain, -1.5, 1.5), "skip": skip}
 
 
-def beliefs(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds: int = 12) -> np.ndarray:
-    """Marginals of the nodes by loopy sum-product: all messages at once, damped by half, until they settle."""
+def hubs(n: int, groups: list[tuple[int, ...]], skip: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """Edges from the tokens of each group to its hub, hubs numbered from n on.
+
+    With weight h on a hub's edges, two tokens on it have (e^2h + k - 1) / (2e^h + k - 2)
+    for equal labels against two unequal ones of k; h is such that this is e to the weight in skip.
+    """
+    k, w = len(skip), np.exp(skip[0, 0])
+    factor = np.eye(k) * np.log(w + np.sqrt(w * w - (k - 1) + (k - 2) * w))
+    return [(i, n + g, factor) for g, group in enumerate(groups) for i in group]
+
+
+def beliefs(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], tolerance: float = 1e-5) -> np.ndarray:
+    """Marginals of the nodes by loopy sum-product: all messages at once, damped by half, until no message is off by tolerance.
+
+    Messages of strong and opposed loops may swing instead (no error smaller by a tenth in 100 rounds). Then
+    steps are halved, and after four of them edges pass in shares (fractional belief propagation),
+    ever smaller until messages settle: small shares make the free energy convex.
+    Where none down to a tenth settles, the state whose messages were least off is taken.
+    """
     n, k = unary.shape
     own = unary - unary.max(1, keepdims=True)
     if edges:
@@ -169,20 +186,31 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds:
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         factor = np.concatenate([table, table.transpose(0, 2, 1)])  # from the source's label to the target's
         back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
-        message = np.zeros((len(source), k))
-        for _ in range(rounds):
+        message, share, step, least, since = np.zeros((len(source), k)), 1.0, 0.5, np.inf, 0
+        nearest = (np.inf, message, share)
+        while True:
             total = own.copy()
-            np.add.at(total, target, message)
-            out = (total[source] - message[back])[:, :, None] + factor
+            np.add.at(total, target, share * message)
+            out = (total[source] - message[back])[:, :, None] + factor / share
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None]).sum(1))
-            new = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-            change = np.abs(new - message).max()
-            message = new
-            if change < 1e-3:
+            change = new - new.max(1, keepdims=True) - message
+            off = np.abs(change).max()
+            if off < nearest[0]:
+                nearest = off, message, share
+            if off < tolerance:
                 break
+            message = message + step * change
+            least, since = (off, 0) if off < 0.9 * least else (least, since + 1)
+            if since == 100:
+                step, least, since = step / 2, np.inf, 0
+                if step < 0.05:
+                    message, share, step = np.zeros_like(message), share * 0.8, 0.5
+                if share < 0.1:
+                    break
+        _, message, share = nearest
         own = own.copy()
-        np.add.at(own, target, message)
+        np.add.at(own, target, share * message)
     p = np.exp(own - own.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -200,7 +228,8 @@ def find(text: str, model: dict[str, np.ndarray] | None, least_belief: float) ->
             unary[i] = -8.0
             unary[i, v] = 8.0
     chain, skip = links(text, tokens)
-    p = beliefs(unary, [(i, j, model["chain"]) for i, j in chain] + [(i, j, model["skip"]) for i, j in skip])
+    unary = np.concatenate([unary, np.zeros((len(skip), unary.shape[1]))])
+    p = beliefs(unary, [(i, j, model["chain"]) for i, j in chain] + hubs(len(tokens), skip, model["skip"]))
     best = p.argmax(1)
     more = [(a, int(best[i]) - 1, b) for i, (a, b) in enumerate(tokens) if not known[i] and best[i] and p[i, best[i]] >= least_belief]
     return base, sorted(base + more)

@@ -181,6 +181,40 @@ def test_pii(docs, empty):
     assert p[1].argmax() == 0  # a link carries the sure node's label
 
 
+def test_pii_evidence_reaches_all_repeats():
+    model = {"unary": np.zeros((pii.FEATURES, 5)), "chain": np.zeros((5, 5)), "skip": 4 * np.eye(5)}
+    text = " and then a rather long way on ".join(["4041894974608795", *["4041.8949.7460.8795"] * 30])
+    base, spans = pii.find(text, model, 0.9)  # a card by its pattern, and 30 tokens of the same digits
+    assert base == [(0, 2, 16)]
+    assert len(spans) == 31 and all(k == 2 and text[a:b] == "4041.8949.7460.8795" for a, k, b in spans[1:])
+
+
+def test_pii_beliefs_settle_at_exact_marginals():
+    rng = np.random.default_rng(3)
+
+    def exact(unary, edges):
+        n, k = unary.shape
+        states = np.stack(np.meshgrid(*[range(k)] * n, indexing="ij"), -1).reshape(-1, n)
+        score = sum(unary[i, states[:, i]] for i in range(n)) + sum(t[states[:, i], states[:, j]] for i, j, t in edges)
+        p = np.exp(score - score.max())
+        return np.array([[p[states[:, i] == v].sum() for v in range(k)] for i in range(n)]) / p.sum()
+
+    unary = rng.normal(size=(6, 5))
+    tree = [(i, j, 4 * np.eye(5)) for i, j in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5))]
+    assert np.abs(pii.beliefs(unary, tree) - exact(unary, tree)).max() < 1e-4
+    # two tokens on a hub are bound as by a link
+    pair = rng.normal(size=(2, 5))
+    for w in (0.5, 4.0):
+        hub = pii.beliefs(np.vstack([pair, np.zeros((1, 5))]), pii.hubs(2, [(0, 1)], w * np.eye(5)))
+        assert np.abs(hub[:2] - exact(pair, [(0, 1, w * np.eye(5))])).max() < 1e-4
+    # a chain of 30 equal tokens, the first one pinned
+    flat = np.zeros((30, 5))
+    flat[0] = [-8, 8, -8, -8, -8]
+    far = pii.beliefs(flat, [(i, i + 1, 4 * np.eye(5)) for i in range(29)])[:, 1]
+    keep = (np.exp(4) - 1) / (np.exp(4) + 4)
+    assert np.abs(far - (0.2 + 0.8 * keep ** np.arange(30))).max() < 1e-3
+
+
 def test_warc_and_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>x</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one\n two<p><b>three</b></article><footer>f</footer>"
     rows = [(1, "http://a.org/1", page), (2, None, page), (3, "x", None), (4, "http://a.org/2", ""), (5, "http://b.org", "<p>no article</p><script>1<2</script>" + "y" * 200_000), (5, "http://b.org", "z")]
