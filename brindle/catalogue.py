@@ -339,6 +339,16 @@ def sort_nulls_last(t):
     return frame.ordered(t.customer.select("c_custkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("k")), ("k", False), ("c_custkey", True)).limit(1400)
 
 
+@query("SELECT c_custkey, k, row_number() OVER (ORDER BY k DESC NULLS LAST, c_custkey) AS place FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) ORDER BY place")
+def sort_nulls_last_whole(t):
+    """Every row and its place: rows are numbered within a key, after those of the keys before it."""
+    rows = t.customer.select("c_custkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("k"))
+    before = W.orderBy(F.desc_nulls_last("_k")).rowsBetween(W.unboundedPreceding, -1)
+    keys_ = rows.groupBy(c("k").alias("_k")).agg(n()).select("_k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(keys_, c("k").eqNullSafe(c("_k"))).withColumn("place", c("_before") + F.row_number().over(W.partitionBy("k").orderBy("c_custkey")))
+    return frame.ordered(placed.select("c_custkey", "k", "place"), ("k", False), ("c_custkey", True))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def topk(t):
     return frame.largest(t.orders.select("o_orderkey", "o_totalprice"), 10, "o_totalprice", ["o_orderkey"])

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import catalogue
 from brindle.operators import audit, frame, graph, keys, linking
 from brindle.plans.dialect import to_spark
 from brindle.plans.ir import Plan, Refused, Scripted, Step, answer, guarded
@@ -22,6 +23,14 @@ def test_merge_matches_null_keys_and_refuses_unlike_types(spark):
         frame.merge(a, b.withColumn("k", F.col("k").cast("string")), ["k"], ["k"])
 
 
+def test_sort_with_nulls_last_returns_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = catalogue.QUERIES["sort_nulls_last_whole"](spark, sf).collect()
+    own = [(r.c_custkey, None if r.c_nationkey == 3 else r.c_nationkey) for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    want = sorted(own, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.c_custkey, r.k, r.place) for r in rows] == [(*r, i + 1) for i, r in enumerate(want)] and rows[-1].k is None
+
+
 def test_cross_source_link_and_join(spark):
     boxes = Boxes(spark)
     boxes.add("people", spark.createDataFrame([("Alice Smith", "director")], "name string, role string"), "db_")
