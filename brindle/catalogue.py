@@ -501,6 +501,15 @@ def correct_token_overlap(t):
     return linking.correct_tokens(t.spark.createDataFrame([("small fine tin box",), ("one",)], "value string"), column)
 
 
+@query()
+def correct_by_priority(t):
+    """Mistyped names of customers and segments against all of them."""
+    column = _names(t).union(t.customer.select("c_mktsegment").distinct())
+    hints = t.spark.createDataFrame([(0, "MACHINERY"), (1, "FURNITURE")], "place int, hint string")
+    values = t.spark.createDataFrame([("0012",), ("FURNITUR E",), ("Custmer#000000012",), ("building",), ("AUTOMOBLE",), ("nowhere",)], "value string")
+    return linking.correct(values, column, hints)
+
+
 @query(f"""SELECT value, n_matched, n_parts FROM (SELECT 'Customer 00012' AS value, max(CAST(contains(lower(db_value), 'customer') AS BIGINT) + CAST(contains(lower(db_value), '00012') AS BIGINT)) AS n_matched, CAST(2 AS BIGINT) AS n_parts FROM {_NAMES}) WHERE n_matched >= 1""")
 def correct_to_contains(t):
     return linking.contains_instead(t.spark.createDataFrame([("Customer 00012",), ("ab cd",)], "value string"), _names(t))

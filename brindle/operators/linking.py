@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,6 +80,34 @@ def correct_tokens(values: DataFrame, column: DataFrame, least: float = 0.6) ->
     return _best(hit.where(F.col("score") >= least), F.desc("score"), F.col("db_value")).select("value", F.col("db_value").alias("corrected"), F.round("score", 4).alias("score"))
 
 
+def correct_by_hint(values: DataFrame, hints: DataFrame, least: float = 0.6) -> DataFrame:
+    """The first hint (hint, by its place) whose edit similarity to the value reaches least."""
+    h = hints.crossJoin(_small(values.select("value"))).where(ratio_bound(F.col("value"), F.col("hint")) >= least).withColumn("score", _ratio("value", "hint"))
+    return _best(h.where(F.col("score") >= least), F.col("place"), F.col("hint")).select("value", F.col("hint").alias("corrected"), F.round("score", 3).alias("similarity"))
+
+
+def correct_close(values: DataFrame, column: DataFrame, least: float = 0.7, most: int = 20) -> DataFrame:
+    """The best of difflib's most closest cells, whose similarity counts with 0.02 for each character of a common start and against 0.01 for each of different length."""
+    c = column.where("db_value IS NOT NULL").join(_small(values.select("value")), ratio_bound(F.col("value"), F.col("db_value")) >= least)
+    close = c.withColumn("_near", _ratio("db_value", "value")).where(F.col("_near") >= least)  # difflib asks cell first, and its ratio depends on the order
+    close = close.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("_near"), F.desc("db_value")))).where(F.col("_n") <= most).drop("_n")
+    at = F.sequence(F.lit(1), F.greatest(F.least(F.length("value"), F.length("db_value")), F.lit(1)))
+    same = F.transform(at, lambda i: F.substring("value", i, F.lit(1)) == F.substring("db_value", i, F.lit(1)))
+    prefix = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
+    scored = close.withColumn("_own", _ratio("value", "db_value")).withColumn("_s", F.col("_own") + 0.02 * prefix - 0.01 * F.abs(F.length("value") - F.length("db_value")))
+    return _best(scored, F.desc("_s"), F.desc("db_value")).select("value", F.col("db_value").alias("corrected"), F.round("_own", 3).alias("similarity"))
+
+
+def correct(values: DataFrame, column: DataFrame, hints: DataFrame) -> DataFrame:
+    """value, corrected, method and similarity by the first way that has a correction: substring, hint, closest cell, same but for case, common tokens."""
+    ways = {
+        "substring_containment": correct_substring(values, column), "execution_state_hint": correct_by_hint(values, hints), "fuzzy_match": correct_close(values, column),
+        "case_insensitive_match": correct_casefold(values, column).withColumn("similarity", F.lit(1.0)), "token_overlap": correct_tokens(values, column).withColumnRenamed("score", "similarity"),
+    }
+    found = [df.select("value", "corrected", F.lit(m).alias("method"), "similarity", F.lit(i).alias("_way")) for i, (m, df) in enumerate(ways.items())]
+    return _best(reduce(DataFrame.unionByName, found), F.col("_way")).drop("_way")
+
+
 def contains_instead(values: DataFrame, column: DataFrame) -> DataFrame:
     """Values of which at least half of the parts of three or more characters stand in some cell."""
     parts = F.filter(F.split("value", r"[\s\-_:]"), lambda x: F.length(x) >= 3)

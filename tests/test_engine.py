@@ -2,7 +2,7 @@
 
 import random
 import sqlite3
-from difflib import SequenceMatcher
+from difflib import SequenceMatcher, get_close_matches
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +31,35 @@ def test_sort_with_nulls_last_returns_the_whole_table(spark):
     assert [(r.c_custkey, r.k, r.place) for r in rows] == [(*r, i + 1) for i, r in enumerate(want)] and rows[-1].k is None
 
 
+def test_correction_takes_the_first_way_that_has_one(spark):
+    cells = ["TR000_1_2", "TR001_1_2", "TR000_1_22", "Gold Medal", "tin box small", "carbon", "abcdefgh", "abcdefgi", "xbcdefgh", "Zürich West", ""]
+    hints = ["chlorine", "bromine", "chlorin"]
+    values = ["TR000_1", "clorine", "TR00_1_2", "CARBON", "small fine tin box", "nowhere", "abcdefgx", "abcdefg", "zürich west", "bcdefgh1", "x y", "TR", "carbn"]
+
+    def plain(v):
+        ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+        if len(v) >= 3 and (inside := [(len(v) / len(c), c) for c in cells if v in c]):
+            return max(inside)[1], "substring_containment"
+        for h in hints:
+            if ratio(v, h) >= 0.6:
+                return h, "execution_state_hint"
+        if close := get_close_matches(v, cells, n=20, cutoff=0.7):
+            start = lambda c: next((i for i, (a, b) in enumerate(zip(v, c, strict=False)) if a != b), min(len(v), len(c)))
+            return max((ratio(v, c) + 0.02 * start(c) - 0.01 * abs(len(c) - len(v)), c) for c in close)[1], "fuzzy_match"
+        for c in cells:
+            if c.lower() == v.lower():
+                return c, "case_insensitive_match"
+        own = set(v.lower().split())
+        score = lambda c: len(own & set(c.lower().split())) / max(len(own), len(set(c.lower().split())))
+        if len(own) >= 2 and (best := max(cells, key=score)) and score(best) >= 0.6:
+            return best, "token_overlap"
+
+    one = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    got = {r.value: (r.corrected, r.method) for r in linking.correct(one(values, "value"), one(cells, "db_value"), spark.createDataFrame(list(enumerate(hints)), "place int, hint string")).collect()}
+    assert got == {v: plain(v) for v in values if plain(v)}
+    assert {m for _, m in got.values()} == {"substring_containment", "execution_state_hint", "fuzzy_match", "case_insensitive_match", "token_overlap"}
+
+
 def test_cross_source_link_and_join(spark):
     boxes = Boxes(spark)
     boxes.add("people", spark.createDataFrame([("Alice Smith", "director")], "name string, role string"), "db_")
