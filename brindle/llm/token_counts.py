@@ -1,9 +1,12 @@
-"""Token counts: texts are encoded in batches inside an Arrow function, and only lengths come back.
+"""Token counts inside an Arrow function: only lengths come back.
 
-A text is cut at white space, which no token of the word vocabulary crosses,
-so a text of any length is encoded in bounded batches (of about CHUNK_CHARS
-characters). A piece that was met lately is not encoded again. sentencepiece models (.model) take whole lines of at
-most BATCH_BYTES; their pieces may cross white space, so texts are not cut.
+A text is cut at white space, which no token of the word vocabulary crosses.
+Texts are not encoded in batches: each word is encoded alone when it is first
+met, and its length is kept for when it comes again. Long texts are cut into
+stretches of about CHUNK_CHARS characters at white space, so the words at hand
+and the lengths kept have a bound, but for a single longer word.
+sentencepiece models (.model) take texts as wholes: their pieces may cross
+white space.
 
 Null counts as empty: no bytes, no tokens. Rows are independent; repeated
 rows and empty tables need nothing special; extra columns are left out.
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.pieces import Memo, chunks, kept, merge_one, spaced, tokenizer
+from brindle.llm.pieces import Memo, chunks, kept, merge_one, spaced, stretches, tokenizer
 
 
 def lengths(path: str):
@@ -30,9 +33,12 @@ def lengths(path: str):
     one = merge_one(t)
     known = Memo(lambda piece: len(one(piece)))
 
-    def of(texts: list[str]) -> list[int]:
+    def count(stretch: str) -> int:
         known.rest()
-        return [sum(map(known.__getitem__, spaced(x))) for x in texts]
+        return sum(map(known.__getitem__, spaced(stretch)))
+
+    def of(texts: list[str]) -> list[int]:
+        return [sum(map(count, stretches(x))) for x in texts]
 
     return of
 

@@ -13,7 +13,7 @@ import pytest
 
 from brindle.llm import bpe, decontaminate, html, ngram_join, pii, quality, secrets, token_counts, token_files, warc
 from brindle.llm.lexicon import Lexicon, build, save
-from brindle.llm.pieces import runs, tokenizer, vocabulary
+from brindle.llm.pieces import runs, spaced, stretches, tokenizer, vocabulary
 
 PROSE = "The quick brown fox jumps over the lazy dog while seven wise owls watch quietly from an old tree near our river bank"
 TEXTS = [
@@ -115,6 +115,18 @@ def test_tokens(spark, docs, empty):
     assert bpe.encode_decode(empty, word).count() == token_counts.token_counts(empty, word).count() == token_files.round_trip(spark, empty, byte).count() == 0
 
 
+def test_token_counts_cut_long_texts(monkeypatch):
+    from brindle.llm import pieces
+
+    word, rng, seen = vocabulary("word_bpe_49k.json"), random.Random(4), []
+    long = "".join(rng.choice(["a", "bc", "d,", " ", "\n", "\t", "\u00e9", "\u2003", "\x1c"]) for _ in range(20_000))
+    monkeypatch.setattr(token_counts, "spaced", lambda x: seen.append(len(x)) or spaced(x))
+    monkeypatch.setattr(token_counts, "stretches", lambda x: stretches(x, 1000), raising=False)
+    assert token_counts.lengths(word)([long, "", "x" * 3000, "a b"]) == [len(tokenizer(word).encode(x, add_special_tokens=False).ids) for x in (long, "", "x" * 3000, "a b")]
+    assert max(seen[:-3]) < 1100 and len(seen) >= 18
+    assert list(pieces.stretches("")) == [""]
+
+
 def test_token_files_encode_odd_texts_like_the_library():
     t, rng = tokenizer(vocabulary("byte_bpe_50k.json")), random.Random(3)
     texts = [None, "", " ", "\n", "a\n\nb", "a  b", "a\r\nb", "a\n b", "it's 'tis", "heat, Heat. heat,, \u00e9t\u00e9, \u65e5\u672c \u8a9e", "<|endoftext|> x", "a\u00a0b"]
