@@ -1,13 +1,14 @@
 """BPE encoding and decoding by a transducer lexicon.
 
 Words (runs without white space, which no token of the vocabulary crosses)
-are counted over all texts; the most_words most frequent ones are encoded by
+of at most 64 characters are counted over all texts, each task sending the
+sums of all its words; the most_words most frequent ones are encoded by
 their exact merges and compiled into the memory-mapped automaton of
 lexicon.py, which the driver hands to the executors as a Spark file. A
 batch's distinct words are looked up together; words that the lexicon lacks
-are merged exactly by the vocabulary's own merge rules. Counts per task leave
-out words rarer than least_count there: they decide only which words are in
-the lexicon, never what a text's ids are.
+are merged exactly by the vocabulary's own merge rules. Words met fewer than
+least_count times in all texts stay out of the lexicon; that decides only how
+a word's ids are found, never what they are.
 
 Null counts as empty: no ids, and the decoded text is empty. Rows are
 independent; repeated rows and empty tables need nothing special; extra
@@ -43,7 +44,7 @@ def frequent_words(docs: DataFrame, most_words: int, least_count: int) -> list[s
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n >= least_count and len(w) <= 64]
+            kept = [(w, n) for w, n in seen.items() if len(w) <= 64]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
@@ -59,7 +60,7 @@ def frequent_words(docs: DataFrame, most_words: int, least_count: int) -> list[s
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+    return [r[0] for r in counted.where(F.col("n") >= least_count).orderBy(F.desc("n"), "word").limit(most_words).collect()]
 
 
 def compiled(docs: DataFrame, path: str, most_words: int = 60_000, least_count: int = 8) -> str:

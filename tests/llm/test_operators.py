@@ -115,6 +115,12 @@ def test_tokens(spark, docs, empty):
     assert bpe.encode_decode(empty, word).count() == token_counts.token_counts(empty, word).count() == token_files.round_trip(spark, empty, byte).count() == 0
 
 
+def test_frequent_words_do_not_depend_on_partitions(spark):
+    rows = [(f"common word{i % 3} rare{i}",) for i in range(40)]
+    for parts in (1, 40):
+        assert bpe.frequent_words(spark.createDataFrame(rows, "text string").repartition(parts), 10, 8) == ["common", "word0", "word1", "word2"]
+
+
 def test_token_counts_cut_long_texts(monkeypatch):
     from brindle.llm import pieces
 
