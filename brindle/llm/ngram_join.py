@@ -3,23 +3,26 @@
 Two documents link when the Jaccard similarity of their sets of word
 shingles reaches percent / 100.
 
-1. One pass counts words into a sketch of fixed size (2**SKETCH_BITS
-   counters), which orders shingles by the count of their rarest word: rare
-   first. Any fixed order gives equal results; this one keeps prefixes rare.
+1. One pass counts words and shingles into two sketches of fixed size
+   (2**SKETCH_BITS counters each). Shingles are ordered by how far their counter
+   is above the usual one, then by their rarest word: rare first. Any
+   fixed order gives equal results; this one puts what a text has for itself
+   before what many share, so that texts just below the threshold, which differ
+   in many shingles, have none of the common ones in their prefixes.
 2. One pass makes each document's set (64-bit hashes), a 128-bit digest of
    it, and its prefix, the first n - ceil(t n) + 1 shingles in that order.
-   Equal sets become one class, so copies meet no join.
+   Equal digests become one class, so copies meet no join.
    The suffix filter is a bound on the sets' Hamming distance: members fall
    into CELLS cells by hash, and cells of unlike parity differ at least once.
-   Pairs that pass meet the same bound with cells by the size of their sets,
-   and then the sets themselves.
+   Pairs that pass meet the same bound with cells by the size of their sets.
+   What passes that is compared once, by the words themselves.
 3. Prefix entries are dealt once by shingle, and those whose shingle occurs in
    one class only go. In each group of a shingle, all others are paired with
-   the group's least member, filtered by length and position, verified once
-   per pair on whole sets after a suffix filter, and joined into components.
-4. What remains are shingles in several components: there all pairs of
-   different components that pass the length, position and suffix filters
-   are made, verified once, and the components are joined. A pair within one component
+   the member that has it first in its prefix, filtered by length and position,
+   verified once per pair, and joined into components.
+4. What remains are shingles in several components: there pairs of
+   different components that pass the length and position filters (what follows
+   the first common shingle must reach the overlap) are verified once, and the components are joined. A pair within one component
    can change nothing, so no link is lost.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing.
@@ -31,6 +34,7 @@ result; extra columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,6 @@ from brindle.llm.common import dropped, written
 SKETCH_BITS = 20
 SLICES = 64
 CELLS = 1024
-FOLDS = 4
 _PARITY = [f"s{k}" for k in range(CELLS // 64)]
 BLOCK = 1 << 19
 
@@ -56,26 +59,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_RATIO = 0x9E3779B97F4A7C15
-_INVERSE = pow(_RATIO, -1, 1 << 64)
-_BYTE = _mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32  # A-Z count as a-z
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        out = np.ones(max(n, BLOCK + 1), _U)
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(np.concatenate([out[:1], np.full(len(out) - 1, base, _U)]), out=out)
-        _POWERS[base] = out
-    return _POWERS[base]
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)  # the low k bytes
+LONG_WORD = 256
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word in data (UTF-8), and the number of words before each start of a text."""
+    """The hash of each word in data (UTF-8), and the number of words before each start of a text.
+
+    Eight bytes at a time go through a bijection; words longer than LONG_WORD bytes are hashed by BLAKE2.
+    """
     n = len(data)
     inside = _WORD[data]
     fresh = np.zeros(n + 1, bool)
@@ -83,10 +79,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     before = np.concatenate([[False], inside[:-1]]) if n else inside
     first = np.flatnonzero(inside & (~before | fresh[:n]))
     after = np.concatenate([inside[1:], [False]]) if n else inside
-    last = np.flatnonzero(inside & (~after | fresh[1:]))
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * _powers(_RATIO, n)[:n], dtype=_U)])
-    h = (total[last + 1] - total[first]) * _powers(_INVERSE, n)[first]
-    return _mix(h + (last - first).astype(_U)), np.searchsorted(first, starts)
+    size = np.flatnonzero(inside & (~after | fresh[1:])) + 1 - first
+    small = np.zeros(n + 8, np.uint8)
+    small[:n] = _SMALL[data]
+    eight = np.ndarray((n + 1,), "<u8", small, strides=(1,))  # the eight bytes from each place on
+    h = _mix(size.astype(_U) + _U(0x9E3779B97F4A7C15))
+    own = np.flatnonzero(size <= LONG_WORD)
+    at, left = first[own], size[own]
+    while len(own):
+        h[own] = _mix(h[own] * _U(0xD6E8FEB86659FD93) ^ (eight[at] & _KEPT[np.minimum(left, 8)]))
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(blake2b(small[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(first, starts)
 
 
 def text_words(column: pa.Array) -> Iterator[np.ndarray]:
@@ -132,9 +138,9 @@ def _needed(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of words by their hashes' low bits, as eighths of a power of two."""
-    m, width = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SLICES
+def sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of words and of shingles by the low bits of their hashes: how far a counter is above the median one, in its spread, by eighths of a power of two."""
+    m, width = 1 << SKETCH_BITS, (2 << SKETCH_BITS) // SLICES
 
     def total(pairs: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         sums: dict[int, np.ndarray] = {}
@@ -143,38 +149,51 @@ def sketch(docs: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(m, np.int64)
+        counts = np.zeros(2 * m, np.int64)
         held: list[np.ndarray] = []
-        size = 0
+        size_ = 0
+
+        def flush() -> None:
+            nonlocal size_
+            if held:
+                np.add(counts, np.bincount(np.concatenate(held), minlength=2 * m), out=counts)
+            held.clear()
+            size_ = 0
+
         for batch in batches:
             for w in text_words(batch.column(0)):
-                held.append(w)
-                size += len(w)
-                if size > 1_000_000:
-                    counts += np.bincount((np.concatenate(held) & _U(m - 1)).astype(np.int64), minlength=m)
-                    held, size = [], 0
-        if held:
-            counts += np.bincount((np.concatenate(held) & _U(m - 1)).astype(np.int64), minlength=m)
+                low = _U(m - 1)
+                held.append((w & low).astype(np.int64))
+                held.append((np.unique(shingles(w, size)) & low).astype(np.int64) + m)
+                size_ += 2 * len(w)
+                if size_ > 2_000_000:
+                    flush()
+        flush()
         yield total((k, counts[k * width : (k + 1) * width]) for k in range(SLICES))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield total((k, np.frombuffer(x, "<u4").astype(np.int64)) for batch in batches for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
     schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(merge, schema).collect()  # SLICES rows, 4 MB in all
-    counts = np.zeros(m, np.int64)
+    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(merge, schema).collect()  # SLICES rows, 8 MB in all
+    counts = np.zeros(2 * m, np.int64)
     for k, x in rows:
         counts[k * width : (k + 1) * width] = np.frombuffer(x, "<u4")
-    return np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8)
+
+    def levels(c: np.ndarray) -> np.ndarray:
+        usual = float(np.median(c))
+        return np.minimum(255, 8 * np.log2(np.maximum(1.0, (c - usual) / (2 * max(1.0, usual) ** 0.5)))).astype(np.uint8)
+
+    return levels(counts[:m]), levels(counts[m:])
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, f1 and f2 (digest of the set), prefix and parities of each row, written."""
-    common = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+    common = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))
     least = min(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, low = common.value, _U((1 << SKETCH_BITS) - 1)
+        (word_level, level), low = common.value, _U((1 << SKETCH_BITS) - 1)
         for batch in batches:
             n, f1, f2, prefixes, parity = [], [], [], [], []
             for words in text_words(batch.column(1)):
@@ -187,13 +206,13 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if len(own) < least:
                     prefixes.append(own[:0].view(np.int64))
                     continue
-                word = counts[(words & low).astype(np.int64)]
+                word = word_level[(words & low).astype(np.int64)]
                 k = min(size, len(words))
                 rank = word[at]
                 for j in range(1, k):
                     rank = np.minimum(rank, word[at + j])
                 p = len(own) - _needed(len(own), percent) + 1
-                prefixes.append(own[np.lexsort((own, rank))[:p]].view(np.int64))
+                prefixes.append(own[np.lexsort((own, rank, level[(own & low).astype(np.int64)]))[:p]].view(np.int64))
             sizes = np.cumsum([0, *map(len, prefixes)])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
             signed = lambda x: pa.array(np.array(x, _U).view(np.int64), pa.int64())
@@ -222,34 +241,41 @@ def _most_apart(both: int, percent: int) -> int:
     return both - 2 * -(-percent * both // (100 + percent))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, size: int, most_broadcast: int) -> DataFrame:
-    """node, its set, and the set's size and fine_cells(), of the documents among nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(shingles(w, size)).view(np.int64) for w in text_words(batch.column(1))]
-            sizes = np.cumsum([0, *map(len, own)])
-            flat = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
-            fine = pa.array([fine_cells(x.view(_U)) for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(sizes), pa.int64()), fine, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["node", "m", "fine", "set"])
-
+def _own(docs: DataFrame, nodes: DataFrame, most_broadcast: int) -> DataFrame:
+    """doc_id and text of the documents among nodes (_node)."""
     if nodes.count() <= most_broadcast:
         nodes = F.broadcast(nodes)
-    return docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("_node"), "left_semi").mapInArrow(run, "node bigint, m bigint, fine binary, set array<bigint>")
+    return docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("_node"), "left_semi")
+
 
+def _fine(texts: DataFrame, size: int) -> DataFrame:
+    """node, its set's size and fine_cells()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(w, size)) for w in text_words(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(list(map(fine_cells, own)), pa.binary())], ["node", "m", "fine"])
 
-_PIVOTS = np.arange(1, 64, dtype=_U) << _U(58)
+    return texts.mapInArrow(run, "node bigint, m bigint, fine binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach percent, after a filter on how many members each has between fixed pivots."""
-    both = len(a) + len(b)
-    apart = _most_apart(both, percent)
-    if np.abs(np.diff(np.searchsorted(a, _PIVOTS), prepend=0, append=0)[:-1] - np.diff(np.searchsorted(b, _PIVOTS), prepend=0, append=0)[:-1]).sum() > apart:
+def similar(a: bytes, b: bytes, size: int, percent: int) -> bool:
+    """Whether the sets of word shingles of two texts (UTF-8) reach percent. Words and shingles are numbered, never hashed."""
+    x, y = a.lower().split(), b.lower().split()  # of bytes: A-Z, and ASCII white space
+    k = min(size, len(x))
+    if not k or k != min(size, len(y)):
         return False
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    same = int(np.count_nonzero(a[at] == b))
-    return 100 * same >= percent * (both - same)
+    word = pa.array(x + y, pa.large_binary()).dictionary_encode()
+    v, own = len(word.dictionary), word.indices.to_numpy().astype(np.int64)
+    p, q = own[: len(x)], own[len(x) :]
+    left, right = p, q
+    for j in range(1, k):
+        both = np.concatenate([left[:-1] * v + p[j:], right[:-1] * v + q[j:]])
+        both = np.unique(both, return_inverse=True)[1]
+        left, right = both[: len(left) - 1], both[len(left) - 1 :]
+    left, right = np.unique(left), np.unique(right)
+    same = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * same >= percent * (len(left) + len(right) - same)
 
 
 def _apart(x: list[str], y: list[str], n: str, percent: int) -> str:
@@ -258,16 +284,18 @@ def _apart(x: list[str], y: list[str], n: str, percent: int) -> str:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, size: int, percent: int, most_broadcast: int) -> DataFrame:
-    """The pairs (a, b) that reach percent, written. Each pair passes the suffix filter, coarse and fine, and is then compared once."""
+    """The pairs (a, b) that reach percent, written. Each pair passes the suffix filter, coarse and fine, and is then compared once.
+
+    The a of many pairs may have one b: texts of a travel to b's, not the other way round.
+    """
     side = lambda s: cells.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in _PARITY])
     near = _apart([f"{c}a" for c in _PARITY], [f"{c}b" for c in _PARITY], "na + nb", percent)
-    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near")
-    nodes = written(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct(), "nodes")
-    sets = written(_sets(docs, nodes, size, most_broadcast), "sets")
-
-    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
-        own = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(c + s) for c in columns])
-        return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", *[c + s for c in columns for s in "ab"])
+    once = pairs.withColumns({"_l": F.least("a", "b"), "_g": F.greatest("a", "b")}).dropDuplicates(["_l", "_g"]).select("a", "b")
+    pairs = written(once.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near")
+    nodes = lambda of: written(of.select(F.col("a").alias("_node")).union(of.select("b")).distinct(), "nodes")
+    met = nodes(pairs)
+    sets = written(_fine(_own(docs, met, most_broadcast), size), "sets")
+    own = lambda s: sets.select(F.col("node").alias(s), F.col("m").alias(f"m{s}"), F.col("fine").alias(f"fine{s}"))
 
     def pass_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,20 +303,19 @@ def verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, size: int, per
             keep = pa.array([unlike(x, y) <= _most_apart(m + n, percent) for m, n, x, y in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    fine = written(with_both(pairs, "m", "fine").mapInArrow(pass_fine, "a bigint, b bigint").distinct(), "fine")
+    with_cells = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ma", "mb", "finea", "fineb")
+    fine = written(with_cells.mapInArrow(pass_fine, "a bigint, b bigint").distinct(), "fine")
+    left = nodes(fine)
+    texts = lambda s: _own(docs, left, most_broadcast).select(F.col("doc_id").alias(s), F.coalesce("text", F.lit("")).cast("binary").alias(f"t{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            def lists(k: int) -> list[np.ndarray]:
-                c = batch.column(k)
-                at, flat = c.offsets.to_numpy().tolist(), c.values.to_numpy().view(_U)
-                return [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
-
-            keep = pa.array([similar(x, y, percent) for x, y in zip(lists(2), lists(3), strict=True)], pa.bool_())
+            keep = pa.array([similar(x.as_py(), y.as_py(), size, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    links = written(with_both(fine, "set").mapInArrow(run, "a bigint, b bigint"), "links")
-    dropped(pairs, nodes, sets, fine)
+    compared = fine.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "ta", "tb")
+    links = written(compared.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    dropped(pairs, met, sets, fine, left)
     return links
 
 
@@ -318,30 +345,27 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: i
     dropped(whole)
 
     entries = reps.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition("shingle")  # one exchange for both uses
-    several = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("least"), F.min_by("n", "node").alias("least_n"), F.min_by("pos", "node").alias("least_pos")).where("_c > 1")
-    shared = written(entries.join(several.drop("_c"), "shingle"), "entries")
+    several = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("pos", "node", "n")).alias("_p")).where("_c > 1").select("shingle", *[F.col(f"_p.{c}").alias(f"pivot_{c}") for c in ("node", "n", "pos")])
+    shared = written(entries.join(several, "shingle"), "entries")
     cells = written(reps.select("node", "n", "f1", "f2", "copies", *_PARITY), "cells")
     dropped(reps)
 
-    # What two sets can still share from here on must reach the overlap that percent asks of their sizes.
-    reach = "least({x}n, {y}n) * 100 >= {p} * greatest({x}n, {y}n) AND (least({x}n - {x}pos, {y}n - {y}pos) + least({x}pos, {y}pos)) * (100 + {p}) >= {p} * ({x}n + {y}n)"
-    first = shared.where("node <> least").where(reach.format(x="", y="least_", p=percent)).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    # At the first common shingle, what the sets can still share must reach the overlap that percent asks of their sizes.
+    reach = "least({x}n, {y}n) * 100 >= {p} * greatest({x}n, {y}n) AND least({x}n - {x}pos, {y}n - {y}pos) * (100 + {p}) >= {p} * ({x}n + {y}n)"
+    first = shared.where("node <> pivot_node").where(reach.format(x="", y="pivot_", p=percent)).select(F.col("node").alias("a"), F.col("pivot_node").alias("b"))
     links = verified(docs, first, cells, size, percent, most_broadcast)
     parts = components(links)
 
     placed = written(shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")), "placed")
     dropped(shared)
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("shingle").alias("_s"))
-    folds = [F.expr(" ^ ".join(_PARITY[k::FOLDS])).alias(f"q{k}") for k in range(FOLDS)]  # the parities of coarser cells
-    open_ = placed.join(mixed, F.col("shingle") == F.col("_s"), "left_semi").join(cells.select(F.col("node").alias("_node"), *folds), F.col("node") == F.col("_node")).drop("_node")
-    open_ = written(open_, "open")
+    open_ = written(placed.join(mixed, F.col("shingle") == F.col("_s"), "left_semi"), "open")
     dropped(placed)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n")
     x = open_.withColumn("band", F.explode(F.array(band, band + 1))).alias("x")
     y = open_.withColumn("band", band).alias("y")
     second = x.join(y, F.expr("x.shingle = y.shingle AND x.band = y.band AND x.comp <> y.comp AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")).where(reach.format(x="x.", y="y.", p=percent))
-    second = second.where(_apart([f"x.q{k}" for k in range(FOLDS)], [f"y.q{k}" for k in range(FOLDS)], "x.n + y.n", percent))
-    more = verified(docs, second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), cells, size, percent, most_broadcast)
+    more = verified(docs, second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), cells, size, percent, most_broadcast)
     dropped(open_)
     if not more.isEmpty():
         parts = components(links.union(more))

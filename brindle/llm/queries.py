@@ -53,4 +53,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_bpe, op4_token_files, op5_secrets, op6_quality, op7_html, op8_token_counts, op9_warc, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.other = u.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.other) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL""",
+    "op2_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, least(len(w), 10) AS size, unnest([array_to_string(w[k:k + least(len(w), 10) - 1], ' ') FOR k IN range(1, len(w) - least(len(w), 10) + 2)]) AS g FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, size, g FROM i),
+x AS (SELECT doc_id, size, unnest([{{'k0': k, 'g': array_to_string(w[k:k + size - 1], ' ')}} FOR k IN range(1, len(w) - size + 2)]) AS x FROM d, (SELECT DISTINCT size FROM g) WHERE len(w) >= size),
+h AS (SELECT doc_id, x.x.k0 AS k0, x.size AS size, item FROM x JOIN g ON x.size = g.size AND x.x.g = g.g),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(k0, k0 + size)) AS k FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
