@@ -18,7 +18,6 @@ import pyarrow.compute as pc
 BATCH_BYTES = 1 << 20
 CHUNK_CHARS = 2 << 20
 MOST_PIECES = 400_000
-CUT = re.compile(r"[\t-\r ]")
 
 _LOADED: dict[object, object] = {}
 
@@ -68,15 +67,6 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield at, batch
 
 
-def stretches(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
-    """The text, cut at the first ASCII white space after every most characters."""
-    at = 0
-    while len(text) - at > most and (m := CUT.search(text, at + most)):
-        yield text[at : m.start()]
-        at = m.end()
-    yield text[at:] if at else text
-
-
 def runs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
     """Slices of texts of about most bytes; a longer text is a slice of its own. Null counts as empty."""
     texts = texts.fill_null("")

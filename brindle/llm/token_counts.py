@@ -1,12 +1,16 @@
-"""Token counts inside an Arrow function: only lengths come back.
+"""Token counts: texts are encoded in batches inside an Arrow function, and only lengths come back.
 
-A text is cut at white space, which no token of the word vocabulary crosses.
-Texts are not encoded in batches: each word is encoded alone when it is first
-met, and its length is kept for when it comes again. Long texts are cut into
-stretches of about CHUNK_CHARS characters at white space, so the words at hand
-and the lengths kept have a bound, but for a single longer word.
-sentencepiece models (.model) take texts as wholes: their pieces may cross
-white space.
+Texts of more than PIECE_BYTES are split at safe boundaries: before a single
+space between two letters or digits, where every vocabulary of the kinds
+served here begins a token of its own. Texts and pieces in a row form batches of
+about BATCH_BYTES bytes of UTF-8, each encoded by one call of the vocabulary's
+library, so what is held at once does not depend on how long texts are; a
+stretch without such a boundary stays whole. The rows' counts are the sums
+over their pieces.
+
+.json files are read by the tokenizers library, .model files by
+sentencepiece. A sentencepiece model whose pieces may hold a space inside, or
+that puts no space in front of a text, has no safe boundary: its texts stay whole.
 
 Null counts as empty: no bytes, no tokens. Rows are independent; repeated
 rows and empty tables need nothing special; extra columns are left out.
@@ -14,49 +18,79 @@ rows and empty tables need nothing special; extra columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from brindle.llm.pieces import Memo, chunks, kept, merge_one, spaced, stretches, tokenizer
-
-
-def lengths(path: str):
-    """A function from texts to token counts."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    t = tokenizer(path)
-    one = merge_one(t)
-    known = Memo(lambda piece: len(one(piece)))
-
-    def count(stretch: str) -> int:
-        known.rest()
-        return sum(map(known.__getitem__, spaced(stretch)))
-
-    def of(texts: list[str]) -> list[int]:
-        return [sum(map(count, stretches(x))) for x in texts]
-
-    return of
+from brindle.llm.pieces import kept, tokenizer
+
+BATCH_BYTES = 512 << 10
+PIECE_BYTES = 256 << 10
+BOUNDARY = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+
+
+def split(text: str, most: int = PIECE_BYTES, keep_space: bool = True) -> Iterator[str]:
+    """The text, cut at the first boundary after every most bytes (counted as characters, of at most four bytes); a space that is cut at begins the next piece or goes."""
+    at = 0
+    while len(text) - at > most and (m := BOUNDARY.search(text, at + most)):
+        yield text[at : m.start()]
+        at = m.start() if keep_space else m.end()
+    yield text[at:] if at else text
+
+
+class Counter:
+    """Counts the tokens of texts with the library of a vocabulary file."""
+
+    def __init__(self, path: str):
+        self.keep_space = not path.endswith(".model")
+        if self.keep_space:
+            t = tokenizer(path)
+            self.encode: Callable[[list[str]], list] = lambda batch: t.encode_batch_fast(batch, add_special_tokens=False)
+            self.safe = True
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda batch: model.encode(batch, num_threads=1)
+            inner = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+            self.safe = not inner and model.encode("a b") == model.encode("a") + model.encode("b")
+
+    def batches(self, texts: pa.Array, sizes: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
+        """Rows and texts, or pieces of them, of about BATCH_BYTES in all."""
+        rows, batch, size = [], [], 0
+        for row, (text, n) in enumerate(zip(texts, sizes.tolist(), strict=True)):
+            text = text.as_py()
+            for piece in split(text, PIECE_BYTES, self.keep_space) if self.safe and n > PIECE_BYTES else (text,):
+                n = len(piece) if piece.isascii() else len(piece.encode())
+                if batch and size + n > BATCH_BYTES:
+                    yield rows, batch
+                    rows, batch, size = [], [], 0
+                rows.append(row)
+                batch.append(piece)
+                size += n
+        if batch:
+            yield rows, batch
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and tokens of each text, null as empty."""
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.zeros(len(texts), np.int64)
+        for rows, batch in self.batches(texts, sizes):
+            np.add.at(n, rows, [len(x) for x in self.encode(batch)])
+        return sizes, n
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs; path is a vocabulary file that workers can open."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = None
         for batch in batches:
-            of = of or kept(("counts", path), lambda: lengths(path))
-            texts, n_bytes, n_tokens = batch.column(1).to_pylist(), [], []
-            for _, part in chunks(texts):
-                n_bytes += [len(x.encode()) for x in part]
-                n_tokens += of(part)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            n_bytes, n_tokens = kept(("counts", path), lambda: Counter(path))(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_tokens bigint, over_limit boolean")
