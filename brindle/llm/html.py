@@ -15,9 +15,11 @@ least_pages pages at a node say nothing about it; its text stays.
 From each page go: branches whose tag, role or class names them as
 navigation, header, footer, sidebar, notice, advert, form, script, style or
 comments; where the page marks its article or main part, all that is outside;
-and branches of low importance outside the article or main part, inside of
-which texts repeat between copies of one text. What remains is joined by
-block.
+and branches of low importance. Inside an article or main part, where texts
+repeat between copies of one text, a class must be such a name as a whole
+(comments, not share-price); of branches whose class only holds one, the tree decides.
+Other branches inside stay. A page that would lose all its text to the tree keeps it.
+What remains is joined by block.
 
 Null html has no text. Repeated rows are told apart; a null or odd url
 belongs to host ''. Unclosed tags end where HTML ends them. An empty table
@@ -40,16 +42,20 @@ from brindle.llm.common import written
 
 # HTML's void, raw and block elements, and the names of branches without main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea select button svg iframe object math title"
+RAW = "script style noscript template textarea select button svg iframe object title"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog".split())
-NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|replies|disqus|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
+NOISE_WORDS = r"(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|replies|disqus|pagination|pager|toolbar)"
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 MAIN = frozenset("article main".split())
 #: An element on the left ends where one on the right begins beside it.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = frozenset("article aside blockquote body div fieldset figure footer form header html main nav section table td th ul ol dl".split())
 
+#: A class or id that is, and one that holds, such a word.
+NAMED = re.compile(rf"(?:^|\s){NOISE_WORDS}(?:$|\s)", re.I)
+HOLDS = re.compile(rf"(?:^|[\s_-]){NOISE_WORDS}(?:$|[\s_-])", re.I)
+
 REST = r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*"
 TOKEN = re.compile(rf"<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>{REST})>|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
 RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW.split()}
@@ -57,17 +63,16 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "children", "text")
+    __slots__ = ("tag", "path", "noise", "main", "doubt", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: str, noise: bool, main: bool, doubt: bool):
+        self.tag, self.path, self.noise, self.main, self.doubt = tag, path, noise, main, doubt
         self.children: list[str] = []
-        self.text: list[str] = []
 
 
 def walk(page: str) -> Iterator[tuple[str, object]]:
     """("open", node), ("close", node) and ("text", (node, string)) in page order."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, at = [root], 0
     while m := TOKEN.search(page, at):
         if m.start() > at:
@@ -98,9 +103,11 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         about = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(m["rest"])} if m["rest"] else {}
         names = " ".join(about.get(k, "") for k in ("class", "id"))
         up = stack[-1]
-        noise = up.noise or tag in NOISE_TAGS or about.get("role", "").lower() in NOISE_ROLES or bool(names.strip() and tag not in ("html", "body", *MAIN) and NOISE_NAMES.search(names))
+        named = names.strip() and tag not in ("html", "body", *MAIN)
+        noise = up.noise or tag in NOISE_TAGS or about.get("role", "").lower() in NOISE_ROLES or bool(named and (NAMED if up.main else HOLDS).search(names))
+        doubt = up.doubt or bool(named and up.main and HOLDS.search(names))
         style = f"{tag}.{about['class'].split()[0]}" if about.get("class", "").split() else tag
-        node = Node(tag, f"{up.path}>{style}", noise, up.main or tag in MAIN or about.get("role", "").lower() == "main")
+        node = Node(tag, f"{up.path}>{style}", noise, up.main or tag in MAIN or about.get("role", "").lower() == "main", doubt)
         up.children.append(style)
         yield "open", node
         if tag in VOID or m["rest"].endswith("/") and tag not in BLOCK:
@@ -173,6 +180,11 @@ def style_tree(pages: DataFrame, least_pages: int = 10, low: float = 0.3) -> Dat
 
 
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
+    """The text of the page without noise and, unless nothing is left then, without its branches of low importance."""
+    return _text(page, low) or (_text(page, frozenset()) if low else "")
+
+
+def _text(page: str, low: frozenset[str]) -> str:
     blocks: list[tuple[bool, str]] = []  # in the main part, text
     parts: list[str] = []
     main = marked = False
@@ -186,7 +198,7 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
     for kind, x in walk(page):
         if kind == "text":
             node, s = x
-            if not node.noise and (node.main or node.path not in low or node.tag in ("html", "body")):
+            if not node.noise and (node.path not in low or node.main and not node.doubt or node.tag in ("html", "body")):
                 if not parts:
                     main = node.main
                 parts.append(entities.unescape(s) if "&" in s else s)
@@ -201,14 +213,15 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
     return "\n".join(s for inside, s in blocks if inside or not marked)
 
 
-def extract(pages: DataFrame, least_pages: int = 10, low: float = 0.3, most_hosts: int = 10_000) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 10, low: float = 0.3, most_paths: int = 200_000) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages.
 
-    The hosts' low paths are broadcast only when there are most_hosts rows of
-    them at most.
+    The hosts' low paths are broadcast only when there are most_paths of them
+    at most, of 200 characters on average.
     """
     tree = written(style_tree(pages, least_pages, low), "styles")
-    if tree.count() <= most_hosts:
+    total = tree.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)), F.coalesce(F.sum(F.length(F.array_join("low", ""))), F.lit(0))).first()
+    if total[0] <= most_paths and total[1] <= 200 * most_paths:
         tree = F.broadcast(tree)
     own = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = pages.select("page_id", "url", "html", own.alias("_h")).join(tree, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "low")
