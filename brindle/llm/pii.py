@@ -12,9 +12,11 @@ what the base spans assert over each document; a node outside all base spans
 whose belief in a kind reaches least_belief is a further span of that kind.
 
 The field is trained here, on the candidate tokens of the most_documents
-documents of least doc_id that have any, with the base spans as labels; of
-each such document the first most_nodes tokens count. All else covers all
-texts as wholes.
+documents of least doc_id (then hash of the text) that have any, with the base
+spans as labels; of each such document the first most_nodes tokens count. All
+its weights are fitted together, by the pseudo-likelihood of the field: each
+token's label given its own features and the labels of its neighbours and of
+the tokens on its hubs. All else covers all texts as wholes.
 
 Null text counts as empty: no spans. Offsets are code points, end exclusive.
 Rows are independent; repeated rows need nothing special; with an empty table
@@ -28,22 +30,24 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns. The email's, [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, is read from its @ in emails().
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]*[0-9@][^\s\"'<>()\[\]{},;]*")
+#: A run without white space and marks that holds a digit or @. It begins where a run does, so long runs are read once.
+TOKEN = re.compile(r"(?<![^\s\"'<>()\[\]{},;])[^\s\"'<>()\[\]{},;0-9@]*+[0-9@][^\s\"'<>()\[\]{},;]*+")
 FEATURES = 512
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -53,10 +57,23 @@ def luhn(digits: str) -> bool:
     return (double + sum(map(int, digits[-1::-2]))) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the email pattern, in time in proportion to the text: what stands before an @, back to the last match or @, and the domain behind."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        front = text[done:at]
+        start = done + len(front.rstrip(LOCAL))
+        m = DOMAIN.match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[Span]:
     found: list[Span] = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += [(a, 0, b) for a, b in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 for p in m[0].split(".")):
@@ -77,17 +94,7 @@ def nodes(text: str) -> list[tuple[int, int]]:
     """The tokens with a digit or @, without the marks at their ends."""
     if "@" not in text and not DIGIT.search(text):
         return []
-    out = []
-    for word in re.finditer(r"\S*[0-9@]\S*" if len(text) < 4000 else r"\S+", text):
-        if len(text) >= 4000 and "@" not in word[0] and not DIGIT.search(word[0]):
-            continue
-        for m in TOKEN.finditer(word[0]):
-            a, b = m.span()
-            while b > a and word[0][b - 1] in ".:!?=":
-                b -= 1
-            if b > a:
-                out.append((word.start() + a, word.start() + b))
-    return out
+    return [(m.start(), m.start() + len(m[0].rstrip(".:!?="))) for m in TOKEN.finditer(text)]
 
 
 def features(text: str, start: int, end: int) -> list[int]:
@@ -130,33 +137,43 @@ def links(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int
     return chain, sorted({tuple(x) for x in of.values() if len(x) > 1})
 
 
-def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, ...]]]]) -> dict[str, np.ndarray]:
-    """Weights from documents' features, labels, chain links and groups: a softmax of the labels, and smoothed log ratios for neighbours and for successive tokens of a group."""
+def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, ...]]]], steps: int = 200) -> dict[str, np.ndarray]:
+    """Weights from documents' features, labels, chain links and groups, by gradient steps on the pseudo-likelihood with a square penalty.
+
+    A token's score for a label is the sum of its features' weights, of the chain weights to its
+    neighbours' labels, and of the skip weight times the share of that label among the others of each of its groups.
+    """
     n = len(KINDS) + 1
-    x = [f for r in rows for f in r[0]]
-    y = np.array([v for r in rows for v in r[1]], np.int64)
-    weights = np.zeros((FEATURES, n))
-    if len(x):
-        f = np.array(x)
-        for step in range(150):
-            score = weights[f].sum(1)
+    unary, chain, skip = np.zeros((FEATURES, n)), np.zeros((n, n)), 1.0
+    f = np.array([v for r in rows for v in r[0]], np.int64)
+    if len(f):
+        y = np.array([v for r in rows for v in r[1]], np.int64)
+        first = np.cumsum([0, *[len(r[1]) for r in rows]]).tolist()
+        pairs = np.array([(at + i, at + j) for at, r in zip(first, rows, strict=False) for i, j in r[2]], np.int64).reshape(-1, 2)
+        left, right = pairs[:, 0], pairs[:, 1]
+        hot = np.eye(n)[y]
+        share = np.zeros((len(y), n))
+        for at, r in zip(first, rows, strict=False):
+            for group in r[3]:
+                own = at + np.array(group)
+                share[own] += (hot[own].sum(0) - hot[own]) / (len(own) - 1)
+        for step in range(steps):
+            score = unary[f].sum(1) + skip * share
+            np.add.at(score, left, chain[:, y[right]].T)
+            np.add.at(score, right, chain[y[left]])
             p = np.exp(score - score.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            grad = np.zeros_like(weights)
+            off = p / p.sum(1, keepdims=True) - hot
+            rate = 4.0 / (1 + step / 50) / len(y)
+            grad = np.zeros_like(unary)
             for j in range(f.shape[1]):
-                np.add.at(grad, f[:, j], p)
-            weights -= 4.0 / (1 + step / 50) * grad / len(y) + 1e-4 * weights
-    pair = np.ones((n, n))
-    alike = np.array([1.0, 1.0])
-    for _, own, chain, skip in rows:
-        for i, j in chain:
-            pair[own[i], own[j]] += 1
-        for i, j in {x for group in skip for x in pairwise(group)}:
-            alike[int(own[i] == own[j])] += 1
-    chain = np.log(pair / pair.sum()) - np.log(pair.sum(1, keepdims=True) / pair.sum()) - np.log(pair.sum(0, keepdims=True) / pair.sum())
-    skip = np.eye(n) * min(4.0, max(0.5, float(np.log(alike[1] / alike[0]))))
-    return {"unary": weights, "chain": np.clip(chain, -1.5, 1.5), "skip": skip}
+                np.add.at(grad, f[:, j], off)
+            pair = np.zeros_like(chain)
+            np.add.at(pair.T, y[right], off[left])
+            np.add.at(pair, y[left], off[right])
+            unary -= rate * grad + 1e-4 * unary
+            chain -= rate * pair + 1e-3 * chain
+            skip = min(4.0, max(0.5, skip - rate * float((off * share).sum())))
+    return {"unary": unary, "chain": np.clip(chain, -1.5, 1.5), "skip": skip * np.eye(n)}
 
 
 def hubs(n: int, groups: list[tuple[int, ...]], skip: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -236,22 +253,26 @@ def find(text: str, model: dict[str, np.ndarray] | None, least_belief: float) ->
 
 
 def fitted(docs: DataFrame, most_documents: int, most_nodes: int) -> dict[str, np.ndarray]:
+    """The weights. The documents are chosen by their keys first; only theirs are featurised."""
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
+            rows = []
+            for text in batch.column(0).to_pylist():
                 tokens = nodes(text)[:most_nodes]
-                if tokens:
-                    chain, skip = links(text, tokens)
-                    ids.append(doc_id)
-                    rows.append(repr(([features(text, a, b) for a, b in tokens], labels(tokens, base_spans(text)), chain, skip)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(rows, pa.string())], ["doc_id", "row"])
+                chain, skip = links(text, tokens)
+                rows.append(repr(([features(text, a, b) for a, b in tokens], labels(tokens, base_spans(text)), chain, skip)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["row"])
 
     from ast import literal_eval
 
-    found = docs.select("doc_id", "text").mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, row string")
-    return train([literal_eval(r.row) for r in found.orderBy("doc_id", "row").limit(most_documents).collect()])
+    own = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text").where(F.col("text").rlike("[0-9@]"))
+    keys = own.select("d", "h").distinct().repartition(32).orderBy("d", "h").limit(most_documents).collect()  # 32 times as many keys at most reach the driver
+    if not keys:
+        return train([])
+    few = F.broadcast(docs.sparkSession.createDataFrame([tuple(k) for k in keys], own.select("d", "h").schema).toDF("_d", "_h"))
+    chosen = own.join(few, own["d"].eqNullSafe(few["_d"]) & (own["h"] == few["_h"]), "left_semi").dropDuplicates(["d", "h"]).select("text")
+    return train([literal_eval(r.row) for r in sorted(chosen.mapInArrow(sample, "row string").collect())])
 
 
 def scan(docs: DataFrame, most_documents: int = 1_000, most_nodes: int = 50, least_belief: float = 0.9) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 
 from brindle.llm import bpe, decontaminate, html, ngram_join, pii, quality, secrets, token_counts, token_files, warc
 from brindle.llm.lexicon import Lexicon, build, save
-from brindle.llm.pieces import runs, spaced, stretches, tokenizer, vocabulary
+from brindle.llm.pieces import runs, tokenizer, vocabulary
 
 PROSE = "The quick brown fox jumps over the lazy dog while seven wise owls watch quietly from an old tree near our river bank"
 TEXTS = [
@@ -121,16 +121,28 @@ def test_frequent_words_do_not_depend_on_partitions(spark):
         assert bpe.frequent_words(spark.createDataFrame(rows, "text string").repartition(parts), 10, 8) == ["common", "word0", "word1", "word2"]
 
 
-def test_token_counts_cut_long_texts(monkeypatch):
-    from brindle.llm import pieces
-
-    word, rng, seen = vocabulary("word_bpe_49k.json"), random.Random(4), []
-    long = "".join(rng.choice(["a", "bc", "d,", " ", "\n", "\t", "\u00e9", "\u2003", "\x1c"]) for _ in range(20_000))
-    monkeypatch.setattr(token_counts, "spaced", lambda x: seen.append(len(x)) or spaced(x))
-    monkeypatch.setattr(token_counts, "stretches", lambda x: stretches(x, 1000), raising=False)
-    assert token_counts.lengths(word)([long, "", "x" * 3000, "a b"]) == [len(tokenizer(word).encode(x, add_special_tokens=False).ids) for x in (long, "", "x" * 3000, "a b")]
-    assert max(seen[:-3]) < 1100 and len(seen) >= 18
-    assert list(pieces.stretches("")) == [""]
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_equal_the_library(monkeypatch, name):
+    path, rng = vocabulary(name), random.Random(4)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        whole = model.encode
+    else:
+        whole = lambda x: tokenizer(path).encode(x, add_special_tokens=False).ids
+    long = ["".join(rng.choice(["a", "bc", "d,", " ", " ", "\n", "\t", "\u00e9", "e\u0301", "\u2003", "\x1c", "\ufb01", "\u65e5", "1", "_", "'s", "<|endoftext|>", "  "]) for _ in range(n)) for n in (20_000, 300, 5)]
+    texts = [None, "", " ", "x" * 3000, "a b", PROSE * 50, *long, "\u65e5\u672c " * 500]
+    monkeypatch.setattr(token_counts, "PIECE_BYTES", 200)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 1000)
+    count = token_counts.Counter(path)
+    assert count.safe
+    seen = []
+    count.encode, encode = (lambda batch: seen.append(sum(len(x.encode()) for x in batch)) or encode(batch)), count.encode
+    n_bytes, n_tokens = count(pa.array(texts))
+    assert n_bytes.tolist() == [len((x or "").encode()) for x in texts]
+    assert n_tokens.tolist() == [len(whole(x or "")) for x in texts]
+    assert len(seen) > 40 and sum(n > 1200 for n in seen) <= 2  # batches are balanced; 3000 letters without a boundary stay whole
 
 
 def test_token_files_encode_odd_texts_like_the_library():
@@ -199,6 +211,83 @@ def test_pii(docs, empty):
     assert p[1].argmax() == 0  # a link carries the sure node's label
 
 
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PATTERNS = {"email": EMAIL, "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def plain_pii(text):
+    """The base spans by the patterns as the contract has them."""
+    def digits(m):
+        return [int(c) for c in m[0] if c in "0123456789"]
+
+    def luhn(d):
+        return sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])
+
+    good = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)) % 10 == 0, "phone": lambda m: 10 <= len(digits(m)) <= 15}
+    return sorted((m.start(), k, m.end()) for k, (name, p) in enumerate(PATTERNS.items()) for m in p.finditer(text) if good[name](m))
+
+
+def test_pii_base_equals_the_patterns(spark, sf):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b.c", "@", ".", "_", "-", "1", "25", "256", " ", "+", "+1", "(", "4041894974608795", "x@y.z", "\u00e9", "1.2.3.4", "555", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [t or "" for t in TEXTS] + ["a@b.com.x_y@c.org", "1.2.3.4.5.6.7.8", "@@a@b.c@d.e"]
+    for t in texts:
+        assert pii.base_spans(t) == plain_pii(t), t
+        runs_ = [m for m in re.finditer(r"[^\s\"'<>()\[\]{},;]+", t) if re.search("[0-9@]", m[0])]
+        assert pii.nodes(t) == [(m.start(), m.start() + len(m[0].rstrip(".:!?="))) for m in runs_]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = by_id(pii.scan(docs))
+    for r in docs.collect():
+        base = plain_pii(r.text or "")
+        own = got[r.doc_id]
+        assert [own.n_email, own.n_ip, own.n_card, own.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        spelled = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert own.base_sha256 == hashlib.sha256(spelled.encode()).hexdigest()
+        assert set(filter(None, spelled.split(","))) <= set(own.spans.split(","))
+
+
+def test_pii_long_tokens_take_linear_time():
+    from time import process_time
+
+    for text in ("a" * 1_000_000 + ",1", "1" * 1_000_000 + " 1", "a." * 500_000 + " @", "1." * 500_000, "@" * 1_000_000, "+1" + "." * 1_000_000):
+        began = process_time()
+        pii.base_spans(text)
+        pii.nodes(text)
+        assert process_time() - began < 2
+
+
+def test_pii_field_finds_what_patterns_miss():
+    """Trained where numbers repeat as they are, the field finds repeats with other marks, which no pattern has, in texts held out."""
+    rng = random.Random(6)
+    planted, rows = [], []
+    for i in range(400):
+        d = "".join(rng.choice("0123456789") for _ in range(10))
+        phone = f"+1-{d[:3]}-{d[3:6]}-{d[6:]}"
+        again = phone if i < 200 else f"1.{d[:3]}.{d[3:6]}{d[6:]}"
+        other = f"in {rng.randint(1900, 2030)} about {rng.randint(1, 99)} of {rng.randint(100, 9999)}.5 kg"
+        mail = f"user{i}@mail{rng.randint(1, 9)}.example.com"
+        text = f"call {phone} or {mail}, {other}; later on the same line was {again} and so on, {other}"
+        planted.append((text, text.rindex(again), text.rindex(again) + len(again)))
+    for text, _, _ in planted[:200]:
+        tokens = pii.nodes(text)
+        chain, skip = pii.links(text, tokens)
+        rows.append(([pii.features(text, a, b) for a, b in tokens], pii.labels(tokens, pii.base_spans(text)), chain, skip))
+    model = pii.train(rows)
+    caught = wrong = 0
+    for text, a, b in planted[200:]:
+        base, spans = pii.find(text, model, 0.9)
+        more = [x for x in spans if x not in base]
+        caught += any(x[0] < b and a < x[2] for x in more)
+        wrong += sum(not (x[0] < b and a < x[2]) for x in more)
+    print(caught, wrong, model["skip"][0, 0])
+    assert caught >= 180 and wrong <= 10
+
+
+def test_pii_redacted(spark, docs):
+    got = {r.doc_id: r.text for r in pii.redacted(docs).collect() if r.doc_id is not None}
+    assert got[12].startswith("mail [EMAIL] or [PHONE], [IP]; ") and got[12].endswith("then [EMAIL]") and got[0] is None and got[4] == PROSE
+
+
 def test_pii_evidence_reaches_all_repeats():
     model = {"unary": np.zeros((pii.FEATURES, 5)), "chain": np.zeros((5, 5)), "skip": 4 * np.eye(5)}
     text = " and then a rather long way on ".join(["4041894974608795", *["4041.8949.7460.8795"] * 30])
@@ -264,6 +353,47 @@ def test_html_keeps_containers_that_look_alike_on_all_pages(spark):
     assert got == want
 
 
+def test_html_inside_an_article_the_tree_decides(spark):
+    rows = []
+    for k in range(20):
+        inside = f"<h1>t{k}</h1><div class='share-price'>price {k}</div><p class='header-note'>note {k}</p><div class='share-bar'>share this</div><p>math <math><mi>x{k}</mi></math></p><div class='comments'><p>first!{k}</p></div><div class='box'>same box</div>"
+        rows.append((k, f"http://a.org/{k}", f"<body><div class='top'>site</div><article>{inside}</article><div class='end'>rights</div>"))
+    rows += [(100 + k, "http://copies.org/", "<body><div class=x><p>one text</p></div>") for k in range(15)]  # nothing but copies
+    rows += [(200 + k, f"http://some.org/{k}", f"<body><div class=x><p>own {k}</p></div><p class=y>on all pages</p>") for k in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"t{k}\nprice {k}\nnote {k}\nmath x{k}\nsame box" for k in range(20))
+    assert all(got[100 + k] == "one text" for k in range(15))
+    assert all(got[200 + k] == f"own {k}" for k in range(12))
+
+
+def test_style_tree_equals_brute_force(spark, sf):
+    from math import log
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(r.url, r.html) for r in pages.collect()]
+    rng = random.Random(5)
+    for k in range(60):
+        parts = [f"<div class=a{rng.randint(0, 2)}><p>{rng.choice(['same', f'own {k}'])}</p><ul><li>{rng.choice('xy')}</ul></div>" for _ in range(rng.randint(1, 3))]
+        rows.append((f"https://u@Tree.org:80/{k}", f"<body>{''.join(parts)}<i>end</i>"))
+    counts = {}
+    for url, page in rows:
+        for path, kind, value in html.style_nodes(page or ""):
+            counts.setdefault((html.host(url), path), {"p": Counter(), "c": Counter()})[kind][value] += 1
+    own = {}
+    leaves = set("p h1 h2 h3 h4 h5 h6 li a span b i em strong td th".split())
+    for (host, path), by in counts.items():
+        n = sum(by["p"].values())
+        if n >= 10:
+            spread = {k: -sum(c / n * log(c / n) for c in x.values()) / log(max(n, 2)) for k, x in by.items()}
+            own[host, path] = spread["c"] if path.rsplit(">")[-1].split(".")[0] in leaves else max(spread.values())
+    want = {}
+    for host, path in own:
+        if max(v for (h, p), v in own.items() if h == host and (p == path or p.startswith(path + ">"))) < 0.3 and path:
+            want.setdefault(host, set()).add(path)
+    got = {r._host: set(r.low) for r in html.style_tree(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == want and "tree.org" in got
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
