@@ -27,7 +27,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return op5_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_digests(docs: DataFrame) -> DataFrame:
+    df = secrets.scan(docs, ["doc_id"])
     n = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
     return df.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.spelled(F.col("_base")), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
