@@ -5,9 +5,10 @@ become a table of hash, words and item ids. Each document's windows are
 hashed in one pass and looked up in the hash set, which goes to the executors
 inside the plan while it holds at most most_hashes; the few windows that pass
 are joined with the table on the hash, and count only when the words are
-equal. A larger benchmark leaves the set out: every window is then joined, by
-broadcast up to most_hashes * 20 rows and by shuffle beyond, with equal
-results.
+equal. For a larger benchmark the set becomes a bitmap of at least eight bits
+for each window (MOST_BITS at most) in which two bits of the hash are looked up,
+so that few windows but the true ones leave their document; these are joined
+by broadcast up to most_hashes * 20 rows and by shuffle beyond, with equal results.
 
 Null and empty texts have no words: such documents have no hit, such items no
 window. Items that repeat an item_id are one item with several texts. Rows of
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import ALNUM, lowered, words, written
 
+MOST_BITS = 1 << 25
+
 
 def _hashed(name: str, n: int) -> Column:
     """The hash of an array of at most n words, as of so many columns."""
@@ -46,6 +49,20 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     )
 
 
+def bitmap(hashes: DataFrame, rows: int) -> tuple[Column, int]:
+    """An array of longs with two bits set for each hash, as a literal, and its length, a power of two."""
+    longs = max(64, min(MOST_BITS, 8 * rows) // 64)
+    longs = min(MOST_BITS // 64, 1 << (longs - 1).bit_length())
+    h = F.explode(F.array("hash", F.shiftrightunsigned("hash", 32))).alias("h")
+    at = F.shiftrightunsigned("h", 6).bitwiseAND(longs - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    found = hashes.select(h).groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).collect()  # MOST_BITS / 64 rows at most
+    own = [0] * longs
+    for at, bits in found:
+        own[at] = bits
+    return F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>"), longs
+
+
 def hits(docs: DataFrame, items: DataFrame, keep: list[str], n: int = 10, most_hashes: int = 100_000) -> DataFrame:
     """keep, n_words, hit (start and end of every benchmark window, in words) and items (ids) for each row of docs."""
     table = written(windows(items, n), "windows")
@@ -66,14 +83,19 @@ def hits(docs: DataFrame, items: DataFrame, keep: list[str], n: int = 10, most_h
         return ", ".join(f"get(_w, i + {k})" for k in range(size))
 
     def candidates(size: int) -> Column:
-        """Windows whose hash is in the set; the hash of their first and last word is looked up before."""
+        """Windows whose hash is in the set; there, the hash of their first and last word is looked up before."""
         own = table.where(F.col("size") == size)
-        test = "true"
+        enough = F.size(w) >= size
+        empty = F.array().cast(none)
         if inside:
             ends = own.select(F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(size - 1))))
             test = f"xxhash64(get(_w, i), get(_w, i + {size - 1})) IN ({known(ends)}) AND xxhash64({window(size)}) IN ({known(own.select('hash'))})"
-        made = f"transform(filter(sequence(0, size(_w) - {size}), i -> {test}), i -> struct(i AS start, {size} AS size, xxhash64({window(size)}) AS hash))"
-        return F.expr(f"CASE WHEN size(_w) >= {size} THEN {made} ELSE CAST(array() AS {none}) END")
+            made = f"transform(filter(sequence(0, size(_w) - {size}), i -> {test}), i -> struct(i AS start, {size} AS size, xxhash64({window(size)}) AS hash))"
+            return F.when(enough, F.expr(made)).otherwise(empty)
+        bits, longs = bitmap(own.select("hash"), rows)
+        is_set = lambda h: F.bit_get(F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(longs - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+        all_ = F.expr(f"transform(sequence(0, size(_w) - {size}), i -> struct(i AS start, {size} AS size, xxhash64({window(size)}) AS hash))")
+        return F.when(enough, F.filter(all_, lambda x: is_set(x["hash"]) & is_set(F.shiftrightunsigned(x["hash"], 32)))).otherwise(empty)
 
     cand = F.concat(F.array().cast(none), *[candidates(s) for s in sizes])
     df = df.select(*keep, "_row", "n_words", "_w", cand.alias("_c"))
@@ -113,16 +135,15 @@ def without_hits(docs: DataFrame, items: DataFrame, n: int = 10, spans: bool = F
     Rows are told apart by doc_id and a hash of the text. The rows that hit
     are broadcast only when there are most_broadcast at most.
     """
-    columns = docs.columns
-    tagged = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    bad = hits(tagged, items, ["doc_id", "_h"], n).where(F.size("hit") > 0)
-    bad = written(bad.groupBy("doc_id", "_h").agg(F.first("hit").alias("_hit")).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "_hit"), "hits")
+    text = F.coalesce(docs["text"], F.lit(""))
+    bad = hits(docs.select("doc_id", "text", F.xxhash64(text).alias("tag")), items, ["doc_id", "tag"], n).where(F.size("hit") > 0)
+    bad = written(bad.groupBy("doc_id", "tag").agg(F.first("hit").alias("hit")), "hits")
     small = F.broadcast(bad) if bad.count() <= most_broadcast else bad
-    same = tagged["doc_id"].eqNullSafe(small["_d"]) & (tagged["_h"] == small["_g"])
+    same = docs["doc_id"].eqNullSafe(small["doc_id"]) & (F.xxhash64(text) == small["tag"])
     if not spans:
-        return tagged.join(small, same, "left_anti").select(*columns)
-    joined = tagged.join(small, same, "left").withColumn("_w", words(lowered(F.coalesce(F.col("text"), F.lit(""))), ALNUM))
-    inside = lambda i: F.exists("_hit", lambda h: (h["start"] <= i) & (i < h["end"]))
-    left = F.concat_ws(" ", F.filter("_w", lambda x, i: ~inside(i)))
-    text = F.when(F.col("_hit").isNotNull(), left).otherwise(F.col("text"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns])
+        return docs.join(small, same, "left_anti")
+    hit = small["hit"]
+    inside = lambda i: F.exists(hit, lambda h: (h["start"] <= i) & (i < h["end"]))
+    left = F.concat_ws(" ", F.filter(words(lowered(text), ALNUM), lambda x, i: ~inside(i)))
+    new = F.when(hit.isNotNull(), left).otherwise(docs["text"])
+    return docs.join(small, same, "left").select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns])
