@@ -5,14 +5,14 @@ The reader walks an archive in blocks and gives a row for each chunk: file,
 record and chunk number, bytes, and the SHA-1 of the payload so far, so no
 record is ever held as a whole; the last chunk's digest is the payload's.
 
-Of rows with equal payloads (SHA-1 and length) of at least least_revisit
+Of rows with equal payloads (by SHA-1) of at least least_revisit
 bytes, those with the smallest page_id become response records and the others
 revisit records that name it; shorter payloads are always responses. A
 revisit keeps the payload's length in its HTTP header.
 
 Null html is an empty payload. A null page_id or url is written as an empty
 name; nulls never are the smallest page_id unless all are null. Rows that
-repeat a page_id and payload are all responses. An empty table gives no
+repeat a page_id and payload are all responses, and their records have one id. An empty table gives no
 archive. Extra columns are left out.
 """
 
@@ -171,14 +171,15 @@ def chunks(archives: DataFrame, payload: bool = False) -> DataFrame:
                         if about["warc-type"] == "revisit":
                             rows.append((*own, 0, 0, stated, *([b""] if payload else [])))
                         else:
-                            sha1, k = hashlib.sha1(), 0
+                            sha1, k, digest = hashlib.sha1(), 0, ""
                             for part in blocks.take(left) if left else [b""]:
                                 sha1.update(part)
-                                rows.append((*own, k, len(part), base64.b32encode(sha1.digest()).decode(), *([part] if payload else [])))
+                                digest = base64.b32encode(sha1.digest()).decode()
+                                rows.append((*own, k, len(part), digest, *([part] if payload else [])))
                                 k += 1
                                 if len(rows) >= (64 if payload else 10_000):
                                     yield flush()
-                            if rows and rows[-1][9] != stated:
+                            if digest != stated:
                                 raise ValueError(f"record {record} of {file} does not have its digest")
                         if b"".join(blocks.take(4)) != b"\r\n\r\n":
                             raise ValueError(f"record {record} of {file} has no end")
