@@ -159,12 +159,30 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame
     return spark.createDataFrame(rows, f"{PART}, base bigint")
 
 
-def _opened(uri: str, kind: str) -> np.ndarray:
-    where, path = fs.FileSystem.from_uri(uri)
-    if isinstance(where, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if where.get_file_info(path).size else np.zeros(0, kind)
-    with where.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+class _Numbers:
+    """A file of numbers: memory-mapped where it is local, else read by the stretch that is asked for."""
+
+    def __init__(self, uri: str, kind: str):
+        where, path = fs.FileSystem.from_uri(uri)
+        self.kind, self.map = np.dtype(kind), None
+        if isinstance(where, fs.LocalFileSystem):
+            self.map = np.memmap(path, kind, "r") if where.get_file_info(path).size else np.zeros(0, kind)
+        else:
+            self.file = where.open_input_file(path)
+
+    def __getitem__(self, s: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[s]
+        w = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((s.stop - s.start) * w, s.start * w), self.kind)
+
+
+def _crc32(ids: _Numbers, start: int, stop: int) -> int:
+    """Of ids as 32-bit integers, a bounded stretch at a time."""
+    crc = 0
+    for a in range(start, stop, CHUNK_BYTES):
+        crc = zlib.crc32(ids[a : min(a + CHUNK_BYTES, stop)].astype("<u4").tobytes(), crc)
+    return crc
 
 
 def read(parts: DataFrame) -> DataFrame:
@@ -173,11 +191,11 @@ def read(parts: DataFrame) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.to_pylist():
-                ids = _opened(f"{p['file']}.bin", f"<u{p['width']}")
-                at, doc = _opened(f"{p['file']}.idx", "<i8"), _opened(f"{p['file']}.doc", "<i8")
+                ids = _Numbers(f"{p['file']}.bin", f"<u{p['width']}")
+                at, doc = _Numbers(f"{p['file']}.idx", "<i8"), _Numbers(f"{p['file']}.doc", "<i8")
                 for k in range(0, p["n_docs"], 10_000):
                     cut = at[k : min(k + 10_000, p["n_docs"]) + 1].tolist()
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+                    crc = [_crc32(ids, a, b) for a, b in zip(cut, cut[1:], strict=False)]
                     own = np.arange(k, k + len(crc)) < p["n_null"]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc[k : k + len(crc)], pa.int64(), mask=own), pa.array([p["base"] + a for a in cut[:-1]], pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(crc, pa.int64())],
