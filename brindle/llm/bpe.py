@@ -4,7 +4,8 @@ Words (runs without white space, which no token of the vocabulary crosses)
 of at most 64 characters are counted over all texts, each task sending the
 sums of all its words; the most_words most frequent ones are encoded by
 their exact merges and compiled into the memory-mapped automaton of
-lexicon.py, which the driver hands to the executors as a Spark file. A
+lexicon.py, which the driver writes to the shared folder and hands to the
+executors as a Spark file. A
 batch's distinct words are looked up together; words that the lexicon lacks
 are merged exactly by the vocabulary's own merge rules. Words met fewer than
 least_count times in all texts stay out of the lexicon; that decides only how
@@ -18,8 +19,6 @@ columns are left out.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from struct import pack
@@ -27,14 +26,17 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.lexicon import Lexicon, build, save
+from brindle.llm.common import shared_path
+from brindle.llm.lexicon import Lexicon, build, packed
 from brindle.llm.pieces import Pieces, chunks, kept, merger, runs, spaced, tokenizer
 
 COUNT_BYTES = 4 << 20
+MERGED = 8
 _MAPPED: dict[str, Lexicon] = {}
 _ADDED: set[tuple[str, str]] = set()
 
@@ -60,20 +62,23 @@ def frequent_words(docs: DataFrame, most_words: int, least_count: int) -> list[s
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.where(F.col("n") >= least_count).orderBy(F.desc("n"), "word").limit(most_words).collect()]
+    few = counted.where(F.col("n") >= least_count).repartition(MERGED)  # so the driver gets MERGED * most_words rows at most, whatever the input
+    return [r[0] for r in few.orderBy(F.desc("n"), "word").limit(most_words).collect()]
 
 
 def compiled(docs: DataFrame, path: str, most_words: int = 60_000, least_count: int = 8) -> str:
     """The name of the Spark file with the lexicon for docs."""
     words = frequent_words(docs, most_words, least_count)
     ids = [e.ids for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)] if words else []
-    folder = tempfile.mkdtemp(prefix="brindle-lexicon-")
-    save(build({w.encode(): i for w, i in zip(words, ids, strict=True)}), file := f"{folder}/lexicon")
-    with open(file, "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}"
-    os.rename(file, f"{folder}/{name}")
+    content = packed(build({w.encode(): i for w, i in zip(words, ids, strict=True)}))
+    name = f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}"
     context = docs.sparkSession.sparkContext
     if (context.applicationId, name) not in _ADDED:  # a name stands for its content, and can be added once
+        folder = shared_path(docs.sparkSession, "lexicon")
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root, recursive=True)
+        with where.open_output_stream(f"{root}/{name}") as f:
+            f.write(content)
         context.addFile(f"{folder}/{name}")
         _ADDED.add((context.applicationId, name))
     return name

@@ -68,11 +68,13 @@ def build(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     }
 
 
-def save(arrays: dict[str, np.ndarray], path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(np.array([len(arrays[k]) for k, _ in ARRAYS], "<i8").tobytes())
-        for k, kind in ARRAYS:
-            f.write(arrays[k].astype(kind).tobytes() + b"\0" * (-arrays[k].astype(kind).nbytes % 8))
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """The file's content: the sizes of the arrays, and each array, padded to eight bytes."""
+    parts = [np.array([len(arrays[k]) for k, _ in ARRAYS], "<i8").tobytes()]
+    for k, kind in ARRAYS:
+        own = arrays[k].astype(kind).tobytes()
+        parts.append(own + b"\0" * (-len(own) % 8))
+    return b"".join(parts)
 
 
 class Lexicon:
