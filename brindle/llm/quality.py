@@ -12,7 +12,7 @@ that promise. A stratum with too few labels has no cutoff and loses nothing.
 
 Null text has no words and fails the base rule. A null stratum value is a
 stratum of its own. Repeated rows are judged one by one; labels with a null
-doc_id or quality are ignored; of repeated labels each counts. Without label
+doc_id or quality are ignored; repeated labels count once. Without label
 rows no cutoff holds. An empty table gives an empty result. Columns of
 documents beyond those named are left out, whatever their names.
 """
@@ -133,8 +133,8 @@ def _tail(k: Column, n: Column, p: float) -> Column:
 def certified(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
     """One row for each stratum with labels: stratum, and by rule the strictest certified cutoff or null."""
     own = rules()
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL")
-    held = measured.where(~base_failed()).join(good, measured.doc_id == good["_id"])
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
+    held = measured.where(~base_failed()).join(good, measured.doc_id == good["_id"]).dropDuplicates([stratum, "_same"])
     counts = [F.count_if(r.value > c).alias(f"{i}_{j}") for i, r in enumerate(own) for j, c in enumerate(r.cutoffs)]
     per = held.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
     per = written(per, "cutoffs")  # as many rows as strata
@@ -159,7 +159,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """
     key = F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null"))
     more = more or []
-    measured = written(measures(docs.select("doc_id", "text", key.alias("_key"), *more), ["doc_id", "_key", *more]), "measures")
+    same = F.xxhash64(F.coalesce("text", F.lit("")))
+    measured = written(measures(docs.select("doc_id", "text", key.alias("_key"), same.alias("_same"), *more), ["doc_id", "_key", "_same", *more]), "measures")
     cuts = written(certified(measured, labels, "_key", alpha, delta), "certified")
     if cuts.count() <= most_strata:
         cuts = F.broadcast(cuts)
