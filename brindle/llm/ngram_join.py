@@ -327,6 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
+    spent = [labels]
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "comp": "c"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
@@ -334,7 +335,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = written(step.join(jump, F.col("comp") == F.col("_n"), "left").select("node", "was", F.least("comp", "_c").alias("comp")), "labels")
         labels = moved.select("node", "comp")
         if moved.where("was <> comp").isEmpty():
+            dropped(both, *spent)
             return labels
+        spent.append(moved)
 
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -383,4 +386,4 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gone = written(kept.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if gone.count() <= 2_000_000:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
