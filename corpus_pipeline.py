@@ -32,12 +32,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and n_chars follows; documents without any stay as they are."""
-    found = secrets.scan(docs, docs.columns)
-    text = secrets.redacted(F.coalesce("text", F.lit("")), F.col("spans"))
-    hit = F.size("spans") > 0
-    new = found.withColumn("_new", F.when(hit, text).otherwise(F.col("text")))
-    own = {"text": F.col("_new"), "n_chars": F.when(hit, F.length("_new").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return new.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # columns of any name stay apart
+    found = secrets.scan(rows, ["row"])
+    text, hit = F.col("row.text"), F.size("spans") > 0
+    new = found.select("row", hit.alias("hit"), F.when(hit, secrets.redacted(F.coalesce(text, F.lit("")), F.col("spans"))).otherwise(text).alias("new"))
+    own = {"text": F.col("new"), "n_chars": F.when(F.col("hit"), F.length("new").cast("bigint")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return new.select(*[own[c].alias(c) if c in own else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
