@@ -31,12 +31,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_path
+from brindle.llm.common import shared_path, written
 from brindle.llm.lexicon import Lexicon, build, packed
 from brindle.llm.pieces import Pieces, chunks, kept, merger, runs, spaced, tokenizer
 
 COUNT_BYTES = 4 << 20
-MERGED = 8
+MERGED = 32
 _MAPPED: dict[str, Lexicon] = {}
 _ADDED: set[tuple[str, str]] = set()
 
@@ -62,8 +62,9 @@ def frequent_words(docs: DataFrame, most_words: int, least_count: int) -> list[s
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    few = counted.where(F.col("n") >= least_count).repartition(MERGED)  # so the driver gets MERGED * most_words rows at most, whatever the input
-    return [r[0] for r in few.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+    # One task merges the first words of MERGED others, and the driver reads most_words rows, whatever the input.
+    few = written(counted.where(F.col("n") >= least_count).repartition(MERGED).orderBy(F.desc("n"), "word").limit(most_words), "words")
+    return [r.word for r in sorted(few.collect(), key=lambda r: (-r.n, r.word))]
 
 
 def compiled(docs: DataFrame, path: str, most_words: int = 60_000, least_count: int = 8) -> str:
