@@ -953,3 +953,30 @@ def forbidden_keys(t):
 @query("SELECT o_orderpriority, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) // 2 AS BIGINT) AS half FROM orders WHERE o_orderpriority ILIKE '%h%' GROUP BY o_orderpriority")
 def sql_dialect(t):
     return dialect.query(_view(t.orders, "orders"), "SELECT \"o_orderpriority\", count(*) AS n, sum(IIF(o_orderstatus = 'F', 1, 0)) div 2 AS half FROM orders WHERE o_orderpriority LIKE '%H%' GROUP BY o_orderpriority")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey // l_linenumber AS BIGINT) AS per_line, CAST((l_partkey + 1) // 2 // 3 AS BIGINT) AS sixth, CASE WHEN l_tax = 0 THEN NULL ELSE l_quantity / l_tax END AS by_tax FROM lineitem")
+def sql_division(t):
+    sql = 'SELECT l_orderkey, l_linenumber, l_partkey / l_linenumber AS per_line, (l_partkey + 1) / 2 / 3 AS sixth, "l_quantity" / l_tax AS by_tax FROM lineitem'
+    return dialect.query(_view(t.lineitem, "lineitem"), sql)
+
+
+@query(r"""SELECT o_orderkey, CAST(regexp_extract(o_orderpriority, '^[0-9]+') AS BIGINT) AS urgency, 0::BIGINT AS none, CAST(trunc(o_totalprice) AS BIGINT) AS whole,
+    CAST(regexp_extract(CAST(o_totalprice AS VARCHAR), '^[0-9]+') AS DOUBLE) AS start FROM orders""")
+def sql_casts(t):
+    sql = "SELECT o_orderkey, CAST(o_orderpriority AS INTEGER) AS urgency, CAST(o_orderstatus AS INTEGER) AS none, CAST(o_totalprice AS INTEGER) AS whole, CAST(CAST(CAST(o_totalprice AS INTEGER) AS TEXT) || ' x' AS REAL) AS start FROM orders"
+    return dialect.query(_view(t.orders, "orders"), sql)
+
+
+@query("""SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS c_custkey, max(c_acctbal) AS most FROM (SELECT * FROM customer WHERE (c_nationkey, c_acctbal, c_custkey) IN (SELECT (c_nationkey, c_acctbal, max(c_custkey)) FROM customer GROUP BY c_nationkey, c_acctbal)) GROUP BY c_nationkey""")
+def sql_bare_column(t):
+    """The customer beside each nation's largest balance; of equal balances the last customer stays."""
+    one = t.customer.groupBy("c_nationkey", "c_acctbal").agg(F.max("c_custkey").alias("c_custkey"))
+    return dialect.query(_view(one, "customer"), "SELECT c_nationkey, c_custkey, MAX(c_acctbal) AS most FROM customer GROUP BY c_nationkey")
+
+
+@query("""SELECT strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m at %d') AS day, CAST(sum(dayofweek(o_orderdate)) AS BIGINT) AS weekdays, round(max(julian(o_orderdate)) - 0.5, 4) AS last
+    FROM (SELECT o_orderkey, o_orderdate FROM orders) GROUP BY ALL""")
+def sql_dates(t):
+    sql = "SELECT STRFTIME('%Y', date(o_orderdate)) AS year, STRFTIME('%m at %d', o_orderdate) AS day, SUM(CAST(STRFTIME('%w', o_orderdate) AS INTEGER)) AS weekdays, ROUND(MAX(JULIANDAY(o_orderdate)) + 0.0, 4) AS last FROM orders GROUP BY 1, 2"
+    return dialect.query(_view(t.orders, "orders"), sql)

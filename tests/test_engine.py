@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from brindle import catalogue
 from brindle.operators import audit, frame, graph, keys, linking
-from brindle.plans.dialect import to_spark
-from brindle.plans.ir import Plan, Refused, Scripted, Step, answer, guarded
+from brindle.plans.dialect import query, to_spark
+from brindle.plans.ir import Plan, Refused, Scripted, Step, TooLong, answer, guarded, lower_steps, state, states, within_time
 from brindle.sources import readers
 from brindle.sources.boxes import Boxes, parse_schema
 
@@ -138,6 +138,57 @@ def test_dialect():
     assert to_spark("SELECT IIF(a LIKE 'LIKE', MAX(a, b), 0) FROM \"t\"") == "SELECT if(a ILIKE 'LIKE', greatest(a, b), 0) FROM `t`"
 
 
+# fmt: off
+SQLITE = [
+    "SELECT id, a / b AS q FROM t", "SELECT id, a / r AS q FROM t", "SELECT 7/2 AS x, 7/2.0 AS y, -7/2 AS z, 7 / 2 / 2 AS w",
+    "SELECT id, CAST(s AS INTEGER) AS i, CAST(s AS REAL) AS f, CAST(r AS INTEGER) AS ri, CAST(a AS TEXT) AS at FROM t",
+    "SELECT id, STRFTIME('%Y', date(d)) AS y, date(d) AS day FROM t", "SELECT id, STRFTIME('%Y-%m/%d at %H:%M', d) AS y, STRFTIME('%w%%', d) AS w FROM t", "SELECT id, JULIANDAY(d) AS j FROM t",
+    "SELECT g, s, MAX(a) AS m FROM t GROUP BY g", "SELECT t.s, MAX(a) FROM t", "SELECT g, COUNT(*) FROM t GROUP BY 1", "SELECT g AS k, COUNT(*) FROM t GROUP BY k",
+    "SELECT x.q / 2 AS h FROM (SELECT SUM(a) / COUNT(*) AS q FROM t GROUP BY g) AS x", "SELECT CAST(SUM(CASE WHEN a > 5 THEN 1 ELSE 0 END) AS REAL) * 100 / COUNT(*) AS p FROM t",
+    "SELECT \"id\" FROM t WHERE s LIKE 'IT%' AND s <> 'STRFTIME(''%Y'', x) / 2'", "SELECT COUNT(DISTINCT g) / 2 AS c, AVG(a) / 2 AS d FROM t",
+    "WITH w AS (SELECT id, a / b AS q FROM t) SELECT id, q / 2 AS h FROM w WHERE q IS NOT NULL ORDER BY id", "SELECT id, (a + 1) / (b * 2) AS q, a % b AS m FROM t",
+    "SELECT g, id FROM t WHERE a = (SELECT MAX(a) FROM t) GROUP BY g", "SELECT id, SUM(a) OVER (ORDER BY id) / 2 AS c FROM t",
+    "SELECT g, UPPER(g) AS u, SUM(a) AS n FROM t GROUP BY g HAVING COUNT(*) > 1 UNION SELECT g, s, MIN(id) FROM t WHERE g = 'z' GROUP BY g",
+]
+# fmt: on
+
+
+def test_dialect_equals_sqlite(spark):
+    rows = [(1, "12abc", 7, 2, 2.5, "2020-03-04 05:06:07", "x"), (2, "3.7", -7, 2, 0.0, "1999-12-31", "x"), (3, None, 9, 0, None, "bad", "y"), (4, " 8 e", 1, 3, 1e10, "2024-02-29", "y"), (5, ".5e1x", None, 3, -2.75, None, "y"), (6, "it's \\ /", 10, 4, 4.0, "2021-01-01", "z")]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t (id INTEGER, s TEXT, a INTEGER, b INTEGER, r REAL, d TEXT, g TEXT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
+    spark.createDataFrame(rows, "id bigint, s string, a bigint, b bigint, r double, d string, g string").createOrReplaceTempView("t")
+    plain = lambda found: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in found)
+    for sql in SQLITE:
+        assert plain(query(spark, sql).collect()) == plain(con.execute(sql).fetchall()), sql
+
+
+def test_guard_reads_plans_and_leaves_names_free(spark):
+    spark.createDataFrame([(1, 2)], "`set` int, `load` int").createOrReplaceTempView("cache")
+    assert spark.sql(guarded("WITH w AS (SELECT `set`, load FROM cache) SELECT upper('drop table') AS x FROM w WHERE load IN (SELECT load FROM cache) -- reset")).count() == 1
+    for bad in ("DROP TABLE x", "SELECT * FROM parquet.`/etc`", "SELECT 1 WHERE 1 IN (SELECT reflect('java.lang.System', 'nanoTime'))", "SELECT * FROM (SELECT java_method('a', 'b')) x", "SET a = 1", "SELECT * FROM sql_keywords()", "CREATE VIEW v AS SELECT 1", "WITH w AS (SELECT * FROM csv.`x`) SELECT 1", "INSERT INTO cache VALUES (1, 2)", "SELECT CURRENT_USER", "SELECT a FROM t LATERAL VIEW java_method(a) z"):
+        with pytest.raises(Refused, match="security violation"):
+            guarded(bad)
+    with pytest.raises(Refused):
+        guarded("(SELECT max(a) FROM text.`/etc/passwd`) > 1", True)
+
+
+def test_answers_are_never_cut_and_jobs_end_in_time(spark):
+    boxes = Boxes(spark)
+    boxes.add("table", spark.range(50))
+    plan = Plan((Step("few", "filter", ("table",), {"where": "id < 2"}), Step("all", "distinct", ("table",))))
+    got = answer("q", boxes, Scripted({"q": [plan]}), most_rows=49)
+    assert not got.success and "49" in got.error and got.frame.count() == 50
+    assert answer("q", boxes, Scripted({"q": [plan]}), most_rows=50).success
+    with pytest.raises(TooLong):
+        within_time(spark, 1.0, spark.range(1, 10**12, 1, 4).selectExpr("sum(hash(id))").collect)
+    assert within_time(spark, 60, spark.range(3).collect) == [(0,), (1,), (2,)]
+    steps = lower_steps(plan, boxes)
+    assert [s.name for s in states(steps, {"all"})] == ["few"]
+    assert state("few", steps["few"], 1, count=True).text() == "# few: 2 rows x 1 columns\n#   id (bigint): 0"
+
+
 def test_asof_takes_the_last_row_not_after(spark):
     rng = random.Random(5)
     a = [(i, rng.choice(["x", "y", None]), rng.choice([None, *range(40)])) for i in range(120)]
