@@ -12,7 +12,7 @@ from brindle.functions import clean, normalize, text
 from brindle.operators import answers, audit, frame, graph, keys, linking, profile, retrieve
 from brindle.plans import dialect
 from brindle.plans.ir import Plan, Step, lower
-from brindle.sources import readers
+from brindle.sources import readers, schemas
 from brindle.sources.boxes import Boxes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -980,3 +980,28 @@ def sql_bare_column(t):
 def sql_dates(t):
     sql = "SELECT STRFTIME('%Y', date(o_orderdate)) AS year, STRFTIME('%m at %d', o_orderdate) AS day, SUM(CAST(STRFTIME('%w', o_orderdate) AS INTEGER)) AS weekdays, ROUND(MAX(JULIANDAY(o_orderdate)) + 0.0, 4) AS last FROM orders GROUP BY 1, 2"
     return dialect.query(_view(t.orders, "orders"), sql)
+
+
+# --- retrieval modes, shapes, and boxes of all types
+
+_DATASETS = "CASE WHEN label % 2 = 0 THEN 'Even' ELSE 'odd' END"
+
+
+@query(_COSINE.format(where=f"WHERE lower({_DATASETS}) = 'even'"))
+def retrieve_same_dataset(t):
+    return retrieve.retrieved(t.embeddings.withColumn("dataset_id", F.expr(_DATASETS)), _query_vector(t), 5, "same_dataset", "EVEN")
+
+
+@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) AS size, CASE WHEN CAST(p_retailprice AS DECIMAL(18,2)) = floor(CAST(p_retailprice AS DECIMAL(18,2))) THEN CAST(CAST(floor(CAST(p_retailprice AS DECIMAL(18,2))) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) END AS price, p_name AS name FROM part""")
+def table_answer_cells(t):
+    price = c("p_retailprice").cast("decimal(18,2)").cast("string")
+    return t.part.select("p_partkey", normalize.table_cell(F.concat(c("p_size").cast("string"), F.lit(".0"))).alias("size"), normalize.table_cell(price).alias("price"), normalize.table_cell(c("p_name")).alias("name"))
+
+
+@query("""SELECT 'customer' AS box, count(*) AS n, count(DISTINCT c_name) AS n_subjects, 'customer,in_nation,segment' AS columns FROM (SELECT c_name, c_nationkey AS v FROM customer UNION ALL SELECT c_name, -1 FROM customer) UNION ALL
+    SELECT 'nation', count(*), count(*), 'nation,in_region' FROM nation""")
+def kg_all_boxes(t):
+    """Each type's box: rows, subjects and columns."""
+    found = schemas.graph_boxes(_triples(t).where("p <> 'name'"))
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(c(f"`{box}`")).alias("n_subjects")).select(F.lit(box).alias("box"), "n", "n_subjects", F.lit(",".join(df.columns)).alias("columns")) for box, df in found.items()]
+    return graph.union(parts)

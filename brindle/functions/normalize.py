@@ -53,3 +53,10 @@ def numeric_string(c: Column) -> Column:
     shown = F.format_string("%.6g", n)
     short = F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     return F.when((n == 0) & v.startswith("-"), "-0").when(whole, n.cast("decimal(38,0)").cast("string")).when(n.isNotNull() & ~whole, short).otherwise(c)
+
+
+def table_cell(c: Column) -> Column:
+    """Text of a whole number below 1e38 in its shortest form (11.0 is 11); other text as it is."""
+    v = F.trim(c)
+    n = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v).try_cast("double")
+    return F.when((n == F.floor(n)) & (F.abs(n) < 1e38), n.cast("decimal(38,0)").cast("string")).otherwise(c)

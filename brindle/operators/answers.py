@@ -79,3 +79,21 @@ def restored_ids(df: DataFrame, column: str, names: DataFrame, most_names: int =
     marked, is_id = F.col("_bare").contains("###"), F.col("_bare").rlike(r"^[mg]\.\w+")
     found = F.when(marked, F.trim(F.substring_index("_bare", "###", -1))).when(is_id, F.col("_bare")).otherwise(F.coalesce("_id", "_bare"))
     return joined.withColumn(column, found).where(~(marked & (F.col(column) == ""))).drop("_bare", "_name", "_id")
+
+
+def shaped(result: object) -> list[list]:
+    """An answer over tables as rows: a value is one row, of a flat list each value is one; whole numbers, also as text, lose their .0."""
+
+    def cell(v: object) -> object:
+        try:
+            whole = isinstance(v, (float, str)) and float(v) == int(float(v))
+        except (ValueError, OverflowError):  # text, and what is no finite number
+            return v
+        return type(v)(int(float(v))) if whole and isinstance(v, str) else int(v) if whole else v
+
+    if result is None:
+        return []
+    values = list(result) if isinstance(result, (list, tuple)) else [result]
+    if all(isinstance(row, (list, tuple)) for row in values):
+        return [[cell(v) for v in row] for row in values]
+    return [[cell(v)] for v in values]

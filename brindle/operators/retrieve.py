@@ -45,3 +45,23 @@ def pending(examples: DataFrame, finished: DataFrame, key: str, target: int | No
     """Examples that aren't finished, up to target in key order."""
     left = examples.join(finished.select(key).distinct(), key, "left_anti")
     return left if target is None else left.orderBy(key).limit(target)
+
+
+MODES = ("cross_task", "same_dataset", "disabled")
+
+
+def retrieved(memory: DataFrame, query: list[float], k: int, mode: str = "cross_task", dataset: str = "") -> DataFrame:
+    """vec_id and score of the k examples (dataset_id, vec_id, embedding) most like query: of all, of one dataset in any case of its name, or none."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}; there are {MODES}")
+    if mode == "disabled" or k <= 0:
+        return memory.select("vec_id", F.lit(0.0).alias("score")).limit(0)
+    return cosine_top(memory, query, k, F.lower("dataset_id") == dataset.lower() if mode == "same_dataset" else None)
+
+
+def demonstrations(found: DataFrame, memory: DataFrame) -> str:
+    """What a planner reads of the examples found (vec_id, score), best first: no cell values, only schema, reasoning and code."""
+    rows = memory.join(found, "vec_id").orderBy(F.desc("score"), "vec_id").collect()  # as many as were asked for
+    fenced = lambda x: f"```python\n{x or ''}\n```"
+    blocks = [f"### Example {i} from {r.dataset_id} (similarity {r.score:.4f})\n{r.question}\nBoxes without rows:\n{fenced(r.schema)}\nWhy: {r.reasoning}\nChecked code:\n{fenced(r.code)}" for i, r in enumerate(rows, 1)]
+    return "\n\n".join(["## Examples of other questions", *blocks]) if blocks else ""

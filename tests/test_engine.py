@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle import catalogue
-from brindle.operators import audit, frame, graph, keys, linking
+from brindle.operators import answers, audit, frame, graph, keys, linking, retrieve
 from brindle.plans.dialect import query, to_spark
 from brindle.plans.ir import Plan, Refused, Scripted, Step, TooLong, answer, guarded, lower_steps, state, states, within_time
 from brindle.sources import readers
@@ -219,3 +219,19 @@ def test_release_is_written_whole_and_keys_are_found_at_any_depth(spark, tmp_pat
     assert str(df.distinct().agg(audit.checksum(df)).first()[0]) != made["checksum"]
     rows = spark.createDataFrame([('{"a": {"gold": 1}}',), ('{"a": "gold"}',), ('{"x": [{"gold" : "gold\\\":"}], "gold": 2}',), (None,)], "j string")
     assert [tuple(r) for r in audit.nested_keys(rows, "j", ["gold", "sql"]).collect()] == [("gold", 2)]
+
+
+def test_retrieval_modes_and_demonstrations(spark):
+    vector = lambda text: [float("count" in text), float("language" in text), 0.1]
+    memory = [("spider", 1, "count the records"), ("webqsp", 2, "which language is spoken")]
+    rows = spark.createDataFrame([(d, i, q, vector(q), f"schema {i}", "why", f"code {i}") for d, i, q in memory], "dataset_id string, vec_id int, question string, embedding array<double>, schema string, reasoning string, code string")
+    ask = lambda *a: retrieve.retrieved(rows, vector("count all rows"), 1, *a)
+    assert [r.vec_id for r in ask().collect()] == [1] and [r.vec_id for r in ask("same_dataset", "WebQSP").collect()] == [2] and ask("disabled").count() == 0
+    text = retrieve.demonstrations(ask(), rows)
+    assert "spider (similarity 1.0000)" in text and "code 1" in text and "code 2" not in text
+    assert retrieve.demonstrations(ask("disabled"), rows) == ""
+
+
+def test_answers_over_tables_have_rows(spark):
+    assert answers.shaped(None) == [] and answers.shaped(11.0) == [[11]] and answers.shaped(["11.0", "a", 2.5, None]) == [["11"], ["a"], [2.5], [None]]
+    assert answers.shaped([["1e3", float("inf")], ["nan", True]]) == [["1000", float("inf")], ["nan", True]] and answers.shaped([]) == []
