@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -552,12 +553,13 @@ def sanitize_ident(t):
     return _strings(t, *_IDENT).select("id", text.identifier(c("v")).alias("name"))
 
 
-_NUMBERS = {"10,887": 10887.0, "$10.8 billion": 10800000000.0, "59%": 0.59, "60,351 (69.1%)": 603.51, "1.": 1.0, "0.0411": 0.0411, "5:19.35": None, "-5": 5.0, "5 weeks": 5000.0, "none": None, "2014-01-05": 2014.0}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if v is None else f'CAST({v!r} AS DOUBLE)'})" for i, v in enumerate(_NUMBERS.values())) + ") v(id, number)")
+@query("SELECT p_partkey AS id, CAST(CASE p_size % 6 WHEN 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) WHEN 1 THEN p_size * 1000000 WHEN 2 THEN p_size / 100 WHEN 4 THEN p_size END AS DOUBLE) AS number FROM part")
 def clean_numeric(t):
-    return _strings(t, *_NUMBERS).select("id", F.round(clean.number(c("v")), 6).alias("number"))
+    """Prices with a sign and commas, millions, shares, times (no numbers), signs, and text without digits."""
+    size, price = c("p_size").cast("string"), F.format_number(c("p_retailprice").cast("decimal(18,2)"), 2)
+    forms = [F.concat(F.lit("$"), price), F.concat(size, F.lit(" million")), F.concat(size, F.lit("%")), F.concat(size, F.lit(":30")), F.concat(F.lit("-"), size), F.lit("not stated")]
+    cell = reduce(lambda rest, i: F.when(c("p_size") % 6 == i, forms[i]).otherwise(rest), range(5), forms[5])
+    return t.part.select(c("p_partkey").alias("id"), F.round(clean.number(cell), 6).alias("number"))
 
 
 _DATES = {"January 5, 2014": "2014-01-05", "Jan 5 2014": "2014-01-05", "5 January 2014": "2014-01-05", "2014-01-05": None, "October 5": "XXXX-10-05", "soon": None, "Dec 31": "XXXX-12-31"}

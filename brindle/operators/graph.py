@@ -24,19 +24,19 @@ def types(triples: DataFrame) -> DataFrame:
 def subgraph(triples: DataFrame, topics: DataFrame, relations: list[str], hops: int) -> DataFrame:
     """Distinct triples of relations that touch a node within hops - 1 steps, in either direction, of a topic.
 
-    A step joins the frontier with the edges; a node met before is never a
-    frontier again. hops is a parameter of a question, small by nature.
+    Each end of an edge also leads to itself, so a step keeps the nodes met
+    before, and the plan names the set of the step before once: it grows in
+    proportion with hops.
     """
     edges = triples.where(F.col("p").isin(*relations)).select("s", "p", "o").distinct()
-    sides = edges.select(F.col("s").alias("u"), F.col("o").alias("v")).union(edges.select("o", "s")).distinct()
-    seen = frontier = topics.select(F.col(topics.columns[0]).alias("node")).distinct()
-    for _ in range(hops - 1):
-        step = sides.join(frontier, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti")
-        seen = seen.union(frontier)
     if hops < 1:
         return edges.limit(0)
-    touch = lambda c: edges.join(seen, F.col(c) == F.col("node"), "left_semi")
+    ends = [edges.select(F.col(a).alias("u"), F.col(b).alias("v")) for a in "so" for b in "so"]
+    sides = reduce(DataFrame.union, ends).distinct()
+    near = topics.select(F.col(topics.columns[0]).alias("node")).distinct()
+    for _ in range(hops - 1):
+        near = sides.join(near, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
+    touch = lambda c: edges.join(near, F.col(c) == F.col("node"), "left_semi")
     return touch("s").union(touch("o")).distinct()
 
 

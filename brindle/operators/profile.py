@@ -65,13 +65,15 @@ def cleaned(df: DataFrame, position: list[str], columns: list[str]) -> DataFrame
 
     Dates and numbers of such columns are rewritten, times stay; a mixed
     column's numbers are rewritten one by one. What a cleaner can't read stays.
-    Each column's first cells come from a sort with a limit.
+    All columns' first cells, each from a sort with a limit, come in one job.
     """
-    kinds = {}
+    found = []
     for name in columns:
         first = df.where(F.col(name).isNotNull()).orderBy(*position).limit(10)
-        row = first.agg(F.collect_list(clean.cell_kind(F.col(name))).alias("kinds"), F.count(F.lit(1)).alias("total"))
-        kinds[name] = row.select(clean.column_kind(F.col("kinds"), F.col("total"))).first()[0]
+        found.append(first.agg(F.lit(name).alias("name"), F.collect_list(clean.cell_kind(F.col(name))).alias("kinds"), F.count(F.lit(1)).alias("total")))
+    if not found:
+        return df
+    kinds = {r.name: r.kind for r in reduce(DataFrame.unionByName, found).select("name", clean.column_kind(F.col("kinds"), F.col("total")).alias("kind")).collect()}
     out = {}
     for name, kind in kinds.items():
         c = F.col(name)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle import catalogue
+from brindle.functions import clean
 from brindle.operators import answers, audit, frame, graph, keys, linking, retrieve
 from brindle.plans.dialect import query, to_spark
 from brindle.plans.ir import Plan, Refused, Scripted, Step, TooLong, answer, guarded, lower_steps, state, states, within_time
@@ -235,3 +236,9 @@ def test_retrieval_modes_and_demonstrations(spark):
 def test_answers_over_tables_have_rows(spark):
     assert answers.shaped(None) == [] and answers.shaped(11.0) == [[11]] and answers.shaped(["11.0", "a", 2.5, None]) == [["11"], ["a"], [2.5], [None]]
     assert answers.shaped([["1e3", float("inf")], ["nan", True]]) == [["1000", float("inf")], ["nan", True]] and answers.shaped([]) == []
+
+
+def test_numbers_in_cells(spark):
+    want = {"7,204": 7204.0, "$2.5 billion": 2.5e9, "40%": 0.4, "12,300 (4.1%)": 123.0, "3.": 3.0, "1:02.5": None, "-5": 5.0, "5 weeks": 5000.0, "none": None, "2014-01-05": 2014.0, "": None}
+    got = spark.createDataFrame([(v,) for v in want], "v string").select("v", F.round(clean.number(F.col("v")), 6).alias("n"))
+    assert {r.v: r.n for r in got.collect()} == want
