@@ -220,6 +220,20 @@ def values_coexist(t):
     return t.orders.where(c("o_orderstatus") == "F").join(t.customer.where(c("c_mktsegment") == "BUILDING"), c("o_custkey") == c("c_custkey")).agg(n())
 
 
+@query("""WITH named AS (SELECT a.n_nationkey AS id, b.n_name AS n_name, 1.0 / (1 + abs(a.n_nationkey - b.n_nationkey)) AS s FROM nation a JOIN nation b ON length(a.n_name) = length(b.n_name)),
+    placed AS (SELECT n_nationkey AS id, r_name, CASE WHEN n_regionkey = r_regionkey THEN 0.0 ELSE 1.0 END AS s FROM nation, region),
+    met AS (SELECT id, n_name, r_name, max(named.s + placed.s) AS s FROM nation JOIN region ON n_regionkey = r_regionkey JOIN named USING (n_name) JOIN placed USING (id, r_name) GROUP BY ALL)
+    SELECT id, n_name, r_name, CAST(round(s, 4) AS DOUBLE) AS similarity FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, n_name, r_name) = 1""")
+def values_together(t):
+    a = t.nation.select(c("n_nationkey").alias("id"), F.length("n_name").alias("size"), c("n_regionkey").alias("region"))
+    b = t.nation.select(c("n_nationkey").alias("k"), c("n_name").alias("value"), F.length("n_name").alias("size"))
+    named = a.join(b, "size").select("id", "value", (F.lit(1.0) / (1 + F.abs(c("id") - c("k")))).alias("similarity"))
+    every = t.region.agg(F.collect_list(F.struct("r_regionkey", "r_name")).alias("all"))
+    placed = a.join(every, F.lit(True)).select("id", "region", F.inline("all")).select("id", c("r_name").alias("value"), F.when(c("region") == c("r_regionkey"), 0.0).otherwise(1.0).alias("similarity"))
+    rows = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
+    return linking.coexisting({"n_name": named, "r_name": placed}, rows)
+
+
 # --- aggregation
 
 
@@ -285,6 +299,19 @@ def profile_columns(t):
     return profile.profile(t.customer)
 
 
+@query("""SELECT 'day' AS column_name, 'DATE' AS flags UNION ALL SELECT 'id', 'ID' UNION ALL SELECT 'at', 'TIME' UNION ALL SELECT 'o_orderkey', ''
+    UNION ALL SELECT 'rare', CASE WHEN count(*) FILTER (o_orderstatus = 'P') < count(*) * 0.5 THEN 'HIGH-NULL' ELSE '' END FROM orders""")
+def profile_flags(t):
+    made = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("m."), c("o_orderkey").cast("string")).alias("id"), F.date_format("o_orderdate", "HH:mm:ss").alias("at"), "o_orderkey", F.when(c("o_orderstatus") == "P", c("o_custkey")).alias("rare"))
+    return profile.flagged(made)
+
+
+@query("""WITH cells AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS cell FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders)
+    SELECT column_name, cell, count(*) AS n, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, cell) AS place FROM cells WHERE cell IS NOT NULL GROUP BY column_name, cell QUALIFY place <= 5""")
+def profile_top_values(t):
+    return profile.top_values(t.orders.select("o_orderstatus", "o_orderpriority", "o_custkey"))
+
+
 @query("""SELECT 'd' AS column_name, 'date' AS pattern UNION ALL SELECT 'k', NULL UNION ALL SELECT 'i', 'freebase_id'""")
 def value_patterns(t):
     made = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), c("o_orderkey").cast("string").alias("k"), F.concat(F.lit("m."), c("o_orderkey").cast("string")).alias("i"))
@@ -713,6 +740,14 @@ def kg_id_to_name(t):
     return graph.id_to_name(_triples(t).where("p = 'in_nation'").select("s", "o"), "o", names)
 
 
+@query("SELECT o_orderkey, 'bought by ' || coalesce(c_name, 'm.c' || o_custkey) || ', not xm.c' || o_custkey || ' or g.o' || o_orderkey || '.' AS v FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey")
+def kg_names_in_text(t):
+    names = t.customer.where(c("c_mktsegment") == "BUILDING").select(F.concat(F.lit("m.c"), c("c_custkey").cast("string")).alias("id"), c("c_name").alias("name"), c("c_custkey").alias("pos"))
+    customer, key = c("o_custkey").cast("string"), c("o_orderkey").cast("string")
+    texts = t.orders.select("o_orderkey", F.concat(F.lit("bought by m.c"), customer, F.lit(", not xm.c"), customer, F.lit(" or g.o"), key, F.lit(".")).alias("v"))
+    return graph.names_in_text(texts, ["o_orderkey"], "v", names)
+
+
 @query("SELECT * FROM (VALUES ('in_nation', CAST(25 AS BIGINT), CAST(25 AS BIGINT), CAST(25 AS BIGINT), true), ('name', CAST(50 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false)) v(column_name, n, n_ids, n_unknown, is_cvt)")
 def profile_kg_cvt(t):
     df = t.customer.select(c("c_name").alias("name"), F.concat(F.lit("m.n"), c("c_nationkey").cast("string")).alias("in_nation"))

@@ -23,9 +23,17 @@ def token_estimate(c: Column) -> Column:
 
 
 def json_object(c: Column) -> Column:
-    """The JSON in a fenced block, else from the first { to the last }."""
+    """The JSON in a fenced block, else from the first { to the } that closes it; null without any. Braces count inside strings too."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.when(fenced != "", fenced).otherwise(F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit("")))
+    parts = F.regexp_extract_all(F.regexp_extract(c, r"(?s)(\{.*)", 1), F.lit(r"[{}][^{}]*"), F.lit(0))
+
+    def step(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part.startswith("{"), 1).otherwise(-1)
+        return F.struct((acc["at"] + 1).alias("at"), depth.alias("depth"), F.when((acc["end"] == 0) & (depth == 0), acc["at"] + 1).otherwise(acc["end"]).alias("end"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+    closed = F.transform(F.array(F.aggregate(parts, start, step, lambda acc: acc["end"])), lambda k: F.when(k > 0, F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(k - 1, F.lit(0))), ""), F.lit("}"))))
+    return F.when(F.get_json_object(F.nullif(fenced, F.lit("")), "$").isNotNull(), fenced).otherwise(F.get(closed, F.lit(0)))
 
 
 def answer_items(c: Column) -> Column:

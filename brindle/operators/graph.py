@@ -68,6 +68,28 @@ def id_to_name(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_name", F.col(column))).drop("_id", "_name")
 
 
+ID = r"\b[mg]\.[A-Za-z0-9_]++\b"
+
+
+def names_in_text(df: DataFrame, key: list[str], column: str, names: DataFrame, most_names: int = 100_000) -> DataFrame:
+    """column with each id inside its text replaced by its name, where names (id, name, pos) knows it; key is unique in df.
+
+    Only texts with an id are taken apart, and only ids are joined. Null and empty texts, and unknown ids, stay.
+    """
+    last = names.groupBy(F.col("id").alias("_id")).agg(F.max_by("name", "pos").alias("_name"))
+    if last.limit(most_names + 1).count() <= most_names:
+        last = F.broadcast(last)
+    whole = F.struct(*key)
+    pieces = F.regexp_extract_all(column, F.lit(rf"(?sU){ID}|.+?(?={ID}|\z)"), F.lit(0))
+    is_id = F.col("_piece").rlike(rf"(?U)^{ID}\z")
+    split = df.where(F.col(column).rlike(f"(?U){ID}")).select(whole.alias("_key"), F.posexplode(pieces).alias("_pos", "_piece"))
+    named = split.where(is_id).join(last, F.col("_piece") == F.col("_id"), "left").select("_key", "_pos", F.coalesce("_name", "_piece").alias("_piece"))
+    parts = F.array_sort(F.collect_list(F.struct("_pos", "_piece")))
+    built = split.where(~is_id).unionByName(named).groupBy("_key").agg(F.array_join(F.transform(parts, lambda p: p["_piece"]), "").alias("_text"))
+    joined = df.join(built, whole.eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(column, F.coalesce("_text", column)).drop("_key", "_text")
+
+
 def two_hops(triples: DataFrame, first: str, second: str) -> DataFrame:
     """start, middle and end of paths through a compound node."""
     a = triples.where(F.col("p") == first).select(F.col("s").alias("start"), F.col("o").alias("middle"))

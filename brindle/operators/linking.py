@@ -108,6 +108,22 @@ def correct(values: DataFrame, column: DataFrame, hints: DataFrame) -> DataFrame
     return _best(reduce(DataFrame.unionByName, found), F.col("_way")).drop("_way")
 
 
+def coexisting(candidates: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
+    """id, a value for each column and their total similarity: of the candidates (id, value, similarity) by column, those that stand in one row together.
+
+    The highest total wins, then the least values; an id without such a row goes. Rows meet candidates by equal values only.
+    """
+    columns, out = list(candidates), rows.select(*candidates)
+    for i, (column, found) in enumerate(candidates.items()):
+        own = _small(found.select(F.col("id").alias(f"_id{i}"), F.col("value").alias(f"_v{i}"), F.col("similarity").alias(f"_s{i}")))
+        same = F.col(column) == F.col(f"_v{i}")
+        out = out.join(own, same & (F.col("_id0") == F.col(f"_id{i}")) if i else same).drop(f"_v{i}", *([f"_id{i}"] if i else []))
+    total = reduce(lambda a, b: a + b, [F.col(f"_s{i}") for i in range(len(columns))])
+    each = out.groupBy(F.col("_id0").alias("id"), *columns).agg(F.max(total).alias("similarity"))
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), *columns)
+    return each.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", *columns, F.round("similarity", 4).alias("similarity"))
+
+
 def contains_instead(values: DataFrame, column: DataFrame) -> DataFrame:
     """Values of which at least half of the parts of three or more characters stand in some cell."""
     parts = F.filter(F.split("value", r"[\s\-_:]"), lambda x: F.length(x) >= 3)

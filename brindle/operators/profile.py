@@ -46,6 +46,48 @@ def pattern(c: Column) -> Column:
     return out
 
 
+# The flag of a pattern.
+FLAGS = {"date": "DATE", "time": "TIME", "freebase_id": "ID"}
+
+
+def flagged(df: DataFrame) -> DataFrame:
+    """column_name and flags (DATE, TIME or ID by the shape of most values; HIGH-NULL where more than half are null), from one aggregation."""
+    each = []
+    for c in df.columns:
+        shape, empty = pattern(F.col(c).cast("string")), F.count(F.col(c)) < F.count(F.lit(1)) * 0.5
+        named = [F.when(shape == p, flag) for p, flag in FLAGS.items()]
+        each.append(F.struct(F.lit(c).alias("column_name"), F.concat_ws(" ", *named, F.when(empty, "HIGH-NULL")).alias("flags")).alias(c))
+    return df.agg(*each).select(F.inline(F.array(*[F.col(f"`{c}`") for c in df.columns])))
+
+
+def top_values(df: DataFrame, k: int = 5) -> DataFrame:
+    """column_name, cell, n and place of the k most frequent values of each column, of equally frequent ones the least first."""
+    from pyspark.sql import Window
+
+    counts = cells(df, "").where("cell IS NOT NULL").groupBy("column_name", "cell").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("column_name").orderBy(F.desc("n"), "cell")
+    return counts.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
+
+
+def described(df: DataFrame, table: str, samples: int = 3) -> str:
+    """A line for each column: its type, flags and most frequent values. Only these come to the driver."""
+    flags = dict(map(tuple, flagged(df).collect()))
+    common: dict[str, list[str]] = {}
+    for row in sorted(top_values(df, samples).collect(), key=lambda r: r.place):
+        common.setdefault(row.column_name, []).append(row.cell)
+    lines = [f"  - {c} ({t}){' ' + flags[c] if flags[c] else ''} | {', '.join(common.get(c, []))}" for c, t in df.dtypes]
+    return "\n".join([f"Table: {table}", *lines])
+
+
+def warnings(risks: list[dict[str, str]], most: int = 5) -> str:
+    """The first risks (risk_type, severity, message, wrong_description) as text, with how many more there are; empty without any."""
+    out = []
+    for risk in risks[:most]:
+        out.append(f"[{risk.get('severity', 'warning')}] {risk.get('risk_type', 'risk').replace('_', ' ')}: {risk.get('message', '')}".rstrip(": "))
+        out += [f"  avoid: {risk['wrong_description']}"] if risk.get("wrong_description") else []
+    return "\n".join(out + ([f"and {len(risks) - most} more"] if len(risks) > most else []))
+
+
 def cvt_columns(df: DataFrame, known: DataFrame, sample: int = 50) -> DataFrame:
     """column_name, n, n_ids and n_unknown over the first sample distinct values by order, and is_cvt: most values are ids, and most ids name no known entity."""
     pairs = cells(df, "").where("cell IS NOT NULL").select("column_name", "cell").distinct()

@@ -7,9 +7,9 @@ from difflib import SequenceMatcher, get_close_matches
 import pytest
 from pyspark.sql import functions as F
 
-from brindle import catalogue
-from brindle.functions import clean
-from brindle.operators import answers, audit, frame, graph, keys, linking, retrieve
+from brindle import catalogue, session
+from brindle.functions import clean, text
+from brindle.operators import answers, audit, frame, graph, keys, linking, profile, retrieve
 from brindle.plans.dialect import query, to_spark
 from brindle.plans.ir import Plan, Refused, Scripted, Step, TooLong, answer, guarded, lower_steps, state, states, within_time
 from brindle.sources import readers
@@ -242,3 +242,43 @@ def test_numbers_in_cells(spark):
     want = {"7,204": 7204.0, "$2.5 billion": 2.5e9, "40%": 0.4, "12,300 (4.1%)": 123.0, "3.": 3.0, "1:02.5": None, "-5": 5.0, "5 weeks": 5000.0, "none": None, "2014-01-05": 2014.0, "": None}
     got = spark.createDataFrame([(v,) for v in want], "v string").select("v", F.round(clean.number(F.col("v")), 6).alias("n"))
     assert {r.v: r.n for r in got.collect()} == want
+
+
+def test_ids_inside_text_become_names(spark):
+    names = spark.createDataFrame([("m.a", "old", 0), ("m.a", "Ann", 1), ("g.b_1", "Bo$1", 0)], "id string, name string, pos int")
+    texts = ["m.a", "of m.a, (g.b_1)\nxm.a m.a.", "none", "", None, "m.zz g.", "é m.aé m.a", "m.a.g.b_1m"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = ["Ann", "of Ann, (Bo$1)\nxm.a Ann.", "none", "", None, "m.zz g.", "é m.aé Ann", "Ann.g.b_1m"]
+    for most in (10, 0):  # by broadcast and by shuffle
+        assert [r.t for r in graph.names_in_text(df, ["k"], "t", names, most).orderBy("k").collect()] == want
+    assert graph.names_in_text(df.where("false"), ["k"], "t", names).count() == 0
+
+
+def test_values_that_stand_in_one_row_win(spark):
+    rows = spark.createDataFrame([("TR000", "TR000_1"), ("TR100", "TR100_1"), ("TR100", "TR100_1"), (None, "TR200_1")], "a string, b string")
+    a = spark.createDataFrame([(1, "TR000", 0.9), (1, "TR100", 0.8), (2, "TR000", 0.9), (3, "TR000", 0.5), (3, "TR100", 0.5)], "id int, value string, similarity double")
+    b = spark.createDataFrame([(1, "TR100_1", 0.9), (1, "TR200_1", 1.0), (2, "TR100_1", 0.9), (3, "TR000_1", 0.5), (3, "TR100_1", 0.5)], "id int, value string, similarity double")
+    found = sorted(map(tuple, linking.coexisting({"a": a, "b": b}, rows).collect()))
+    assert found == [(1, "TR100", "TR100_1", 1.7), (3, "TR000", "TR000_1", 1.0)]
+
+
+def test_json_object_ends_where_its_braces_close(spark):
+    cases = ['x {"a": {"b": 1}} y {"c": 2}', '{"a": 1', "}{}", '```json\n{"a": 2}\n``` {"z": 1}', '```\n{bad}\n``` then', None, "", "no"]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, v string")
+    assert [r[0] for r in df.orderBy("k").select(text.json_object(F.col("v"))).collect()] == ['{"a": {"b": 1}}', None, "{}", '{"a": 2}', "{bad}", None, None, None]
+
+
+def test_columns_are_described_with_flags_and_frequent_values(spark):
+    df = spark.createDataFrame([("2020-01-02", None, 3), ("2020-01-02", "m.x", 1), ("2021-05-06", None, 3)], "d string, e string, n int")
+    assert profile.described(df, "t", 2) == "Table: t\n  - d (string) DATE | 2020-01-02, 2021-05-06\n  - e (string) ID HIGH-NULL | m.x\n  - n (int) | 3, 1"
+    risks = [{"risk_type": "high_null", "severity": "critical", "message": "e is empty", "wrong_description": "joining on e"}, {}]
+    assert profile.warnings(risks, 1) == "[critical] high null: e is empty\n  avoid: joining on e\nand 1 more"
+    assert profile.warnings([]) == ""
+
+
+def test_settings_merge_and_are_read_by_dotted_names():
+    base = {"model": {"name": "a", "n": 1}, "k": 1}
+    both = session.merged(base, {"model": {"n": 2}, "k": {"x": None}})
+    assert both == {"model": {"name": "a", "n": 2}, "k": {"x": None}} and base["model"]["n"] == 1
+    assert session.setting(both, "model.n") == 2 and session.setting(both, "k.x", 5) is None
+    assert session.setting(both, "model.n.z", 7) == 7 and session.setting(both, "none") is None
