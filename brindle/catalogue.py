@@ -175,7 +175,7 @@ def value_mapping(t):
 def join_inner(t):
     a = t.customer.select("c_custkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("k"))
     b = t.supplier.select("s_suppkey", F.nullif(c("s_nationkey"), F.lit(3)).alias("j"))
-    return frame.merge(a, b, ["k"], ["j"]).select("c_custkey", "s_suppkey")
+    return frame.merge(a, b, ["k"], ["j"], many=True).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT n_nationkey AS key, n_name AS name_x, r_name AS name_y FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -28,8 +28,36 @@ def startswith(c: Column, s: str) -> Column:
     return F.coalesce(c.startswith(s), F.lit(False))
 
 
-def merge(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Inner join in which null keys match; columns that both sides have get suffixes, equal key names stay one column. Keys of unlike kinds are refused."""
+LIST_ROWS = 1024
+
+
+def paired(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> DataFrame:
+    """Inner join, null keys matching, for keys that are frequent on both sides; no column name is on both.
+
+    Rows of right are put in lists of at most LIST_ROWS of one key. Each row of
+    left is repeated once for each list of its key, these are dealt out to all
+    cores, and each meets one list: pairs are made where they leave, so a task
+    holds lists, not pairs, and work is even however rows lie in files or keys.
+    Dealt by range, a task has few lists, which keeps files of pairs small.
+    All columns must be of types that can be ordered.
+    """
+    spark, keys = left.sparkSession, [f"_k{i}" for i in range(len(right_on))]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = [F.col(b).alias(k) for b, k in zip(right_on, keys, strict=True)]
+    met = reduce(lambda p, q: p & q, [F.col(a).eqNullSafe(F.col(k)) for a, k in zip(left_on, keys, strict=True)])
+    place = F.row_number().over(Window.partitionBy(*right_on).orderBy(*right.columns)) - 1
+    lists = right.withColumn("_list", F.floor(place / LIST_ROWS)).groupBy(*named, "_list").agg(F.collect_list(F.struct(*right.columns)).alias("_rows"))
+    sizes = right.groupBy(*named).agg(F.floor((F.count(F.lit(1)) - 1) / LIST_ROWS).alias("_last"))
+    blocks = left.join(sizes, met).select(*left.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_at"))
+    dealt = blocks.repartitionByRange(tasks, *left_on, "_at", *left.columns)
+    return dealt.join(lists, met & (F.col("_at") == F.col("_list"))).select(*left.columns, F.inline("_rows"))
+
+
+def merge(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], suffixes: tuple[str, str] = ("_x", "_y"), many: bool = False) -> DataFrame:
+    """Inner join in which null keys match; columns that both sides have get suffixes, equal key names stay one column. Keys of unlike kinds are refused.
+
+    many is for keys that are frequent on both sides; see paired().
+    """
     text = lambda df, c: dict(df.dtypes)[c] == "string"
     for a, b in zip(left_on, right_on, strict=True):
         if text(left, a) != text(right, b):
@@ -39,8 +67,9 @@ def merge(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[
     x = left.select(*[F.col(c).alias(f"{c}{suffixes[0]}" if c in both else c) for c in left.columns])
     y = right.select(*[F.col(c).alias(f"{c}{suffixes[1]}" if c in both else f"_r_{c}" if c in shared else c) for c in right.columns])
     name = lambda c, s: f"{c}{s}" if c in both else c
-    on = [x[name(a, suffixes[0])].eqNullSafe(y[f"_r_{b}" if a == b else name(b, suffixes[1])]) for a, b in zip(left_on, right_on, strict=True)]
-    return x.join(y, reduce(lambda p, q: p & q, on), "inner").drop(*[f"_r_{c}" for c in shared])
+    ons = [(name(a, suffixes[0]), f"_r_{b}" if a == b else name(b, suffixes[1])) for a, b in zip(left_on, right_on, strict=True)]
+    both_rows = paired(x, y, *map(list, zip(*ons, strict=True))) if many else x.join(y, reduce(lambda p, q: p & q, [x[a].eqNullSafe(y[b]) for a, b in ons]), "inner")
+    return both_rows.drop(*[f"_r_{c}" for c in shared])
 
 
 def group(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:

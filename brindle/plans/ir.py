@@ -39,7 +39,7 @@ def _aggregates(spec: dict[str, tuple[str, str]]) -> dict:
 OPS: dict[str, Callable[..., DataFrame]] = {
     "filter": lambda df, where: df.where(guarded(where, True)),
     "project": lambda df, columns: df.select(*[F.expr(guarded(c, True)) for c in columns]),
-    "merge": lambda a, b, left_on, right_on: frame.merge(a, b, left_on, right_on),
+    "merge": lambda a, b, left_on, right_on, many=False: frame.merge(a, b, left_on, right_on, many=many),
     "group": lambda df, keys, aggregates: frame.group(df, keys, **_aggregates(aggregates)),
     "sort": lambda df, by: frame.ordered(df, *by),
     "head": lambda df, n: df.limit(n),

@@ -24,6 +24,21 @@ def test_merge_matches_null_keys_and_refuses_unlike_types(spark):
         frame.merge(a, b.withColumn("k", F.col("k").cast("string")), ["k"], ["k"])
 
 
+def test_merge_of_keys_frequent_on_both_sides_makes_all_pairs_by_many_tasks(spark, sf, monkeypatch):
+    rng = random.Random(5)
+    rows = lambda n: [(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice([0.0, -0.0, 1.5, float("nan"), None]), rng.choice([None, "x", "y"]), i % 7) for i in range(n)]
+    a, b = (spark.createDataFrame([*rows(n), (only, 0.0, "x", 1)], "k int, f double, v string, w int").coalesce(1) for n, only in ((60, 8), (50, 9)))
+    monkeypatch.setattr(frame, "LIST_ROWS", 4)
+    texts = lambda df: sorted(map(str, df.collect()))
+    for on in (["k"], ["k", "f"]):
+        found, plain = frame.merge(a, b, on, on, many=True), frame.merge(a, b, on, on)
+        assert found.schema == plain.schema and texts(found) == texts(plain) and len(texts(found)) > 100
+    assert texts(frame.merge(a, b.withColumnRenamed("k", "j"), ["k"], ["j"], many=True)) == texts(frame.merge(a, b.withColumnRenamed("k", "j"), ["k"], ["j"]))
+    assert frame.merge(a, b.limit(0), ["k"], ["k"], many=True).count() == frame.merge(a.limit(0), b, ["k"], ["k"], many=True).count() == 0
+    pairs = catalogue.QUERIES["join_inner"](spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(pairs) > 8 and max(r["count"] for r in pairs) < 0.5 * sum(r["count"] for r in pairs)
+
+
 def test_sort_with_nulls_last_returns_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = catalogue.QUERIES["sort_nulls_last_whole"](spark, sf).collect()
