@@ -94,10 +94,10 @@ class Pieces:
         """A dict that has all of pieces."""
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
-        new = pieces - self.known.keys()
+        new = pieces.difference(self.known)  # "pieces - keys()" would go through all known ones
         for p in new & self.old.keys():
             self.known[p] = self.old[p]
-        for batch in by_bytes(new - self.old.keys()):
+        for batch in by_bytes(new.difference(self.old)):
             self.known.update(zip(batch, self.make(batch), strict=True))
         return self.known
 

@@ -2,15 +2,17 @@
 
 Texts of more than PIECE_BYTES are split at safe boundaries: before a single
 space between two letters or digits, where every vocabulary of the kinds
-served here begins a token of its own. Texts and pieces in a row form batches of
-about BATCH_BYTES bytes of UTF-8, each encoded by one call of the vocabulary's
-library, so what is held at once does not depend on how long texts are; a
-stretch without such a boundary stays whole. The rows' counts are the sums
-over their pieces.
+served here begins a token of its own. Texts and stretches of them in a row form
+batches of about BATCH_BYTES bytes of UTF-8, so what is held at once does not
+depend on how long texts are; a stretch without such a boundary stays whole.
+A batch is split at all its safe boundaries, and its distinct pieces are encoded
+together, by the vocabulary's library, without those whose lengths earlier batches
+have shown: short ones are kept, up to a bound. The rows' counts are the sums over their pieces.
 
 .json files are read by the tokenizers library, .model files by
-sentencepiece. A sentencepiece model whose pieces may hold a space inside, or
-that puts no space in front of a text, has no safe boundary: its texts stay whole.
+sentencepiece. A vocabulary whose tokens may hold a space inside or take white
+space beside them has no safe boundary, nor has a sentencepiece model that puts
+no space in front of a text: texts stay whole.
 
 Null counts as empty: no bytes, no tokens. Rows are independent; repeated
 rows and empty tables need nothing special; extra columns are left out.
@@ -26,11 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from brindle.llm.pieces import kept, tokenizer
+from brindle.llm.pieces import Pieces, kept, tokenizer
 
 BATCH_BYTES = 512 << 10
 PIECE_BYTES = 256 << 10
+KEPT_CHARS = 64
 BOUNDARY = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+BEFORE_SPACE = re.compile(r"(?= [^\W_])(?<=[^\W_])")
+SPACE_INSIDE = re.compile(r"[A-Za-z0-9][ \u0120\u2581]")
 
 
 def split(text: str, most: int = PIECE_BYTES, keep_space: bool = True) -> Iterator[str]:
@@ -50,7 +55,10 @@ class Counter:
         if self.keep_space:
             t = tokenizer(path)
             self.encode: Callable[[list[str]], list] = lambda batch: t.encode_batch_fast(batch, add_special_tokens=False)
-            self.safe = True
+            apart = t.encode_batch_fast(["a b", "a", " b"], add_special_tokens=False)
+            added = t.get_added_tokens_decoder().values()
+            inner = any(SPACE_INSIDE.search(x) for x in t.get_vocab()) or any(x.lstrip or x.rstrip for x in added)
+            self.safe = not inner and apart[0].ids == apart[1].ids + apart[2].ids
         else:
             import sentencepiece
 
@@ -59,6 +67,8 @@ class Counter:
             inner = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
             self.safe = not inner and model.encode("a b") == model.encode("a") + model.encode("b")
 
+        self.known = Pieces(lambda batch: [len(x) for x in self.encode(batch)])
+
     def batches(self, texts: pa.Array, sizes: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
         """Rows and texts, or pieces of them, of about BATCH_BYTES in all."""
         rows, batch, size = [], [], 0
@@ -80,8 +90,15 @@ class Counter:
         texts = texts.fill_null("")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         n = np.zeros(len(texts), np.int64)
+        cut = (BEFORE_SPACE if self.keep_space else BOUNDARY).split if self.safe else lambda text: [text]
         for rows, batch in self.batches(texts, sizes):
-            np.add.at(n, rows, [len(x) for x in self.encode(batch)])
+            pieces = [cut(text) for text in batch]
+            distinct = set().union(*pieces)
+            known = self.known.learn(distinct)
+            np.add.at(n, rows, [sum(map(known.__getitem__, own)) for own in pieces])
+            for p in distinct:
+                if len(p) > KEPT_CHARS:
+                    del known[p]
         return sizes, n
 
 

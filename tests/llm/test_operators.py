@@ -156,6 +156,37 @@ def test_token_counts_equal_the_library(monkeypatch, name):
     assert len(seen) > 40 and sum(n > 1200 for n in seen) <= 2  # batches are balanced; 3000 letters without a boundary stay whole
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_encode_a_piece_once_and_forget_beyond_a_bound(monkeypatch, name):
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 3000)
+    count, whole, seen = token_counts.Counter(vocabulary(name)), token_counts.Counter(vocabulary(name)), []
+    whole.safe = False
+    count.encode, encode = (lambda batch: seen.extend(batch) or encode(batch)), count.encode
+    texts = pa.array([f"{PROSE} n{i % 3}, {'y' * 70} {PROSE}\n" for i in range(60)])
+    want = whole(texts)[1].tolist()
+    assert count(texts)[1].tolist() == want
+    assert sum(len(x) <= token_counts.KEPT_CHARS for x in seen) == len({x for x in seen if len(x) <= token_counts.KEPT_CHARS}) < 60
+    assert all(len(x) <= token_counts.KEPT_CHARS for x in count.known.known)
+    assert sum(map(len, seen)) < 0.5 * sum(len(x.as_py()) for x in texts)
+    count.known.most = 5
+    assert count(pa.array([f"w{i} {PROSE}" for i in range(400)]))[1].tolist() == whole(pa.array([f"w{i} {PROSE}" for i in range(400)]))[1].tolist()
+    assert len(count.known.known) + len(count.known.old) < 300
+
+
+def test_token_counts_of_vocabularies_without_safe_boundaries(tmp_path):
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    crossing = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "a ": 3, "a b": 4}, [("a", " "), ("a ", "b")]))
+    taking = Tokenizer(models.BPE({"a": 0, "b": 1, "\u0120": 2}, []))
+    taking.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    taking.add_tokens([AddedToken("ab", rstrip=True)])
+    for i, t in enumerate((crossing, taking)):
+        t.save(str(tmp_path / f"{i}.json"))
+        count, texts = token_counts.Counter(str(tmp_path / f"{i}.json")), ["a b a b", "ab a", "b ab b a"]
+        assert not count.safe
+        assert count(pa.array(texts))[1].tolist() == [len(t.encode(x).ids) for x in texts]
+
+
 def test_token_files_encode_odd_texts_like_the_library():
     t, rng = tokenizer(vocabulary("byte_bpe_50k.json")), random.Random(3)
     texts = [None, "", " ", "\n", "a\n\nb", "a  b", "a\r\nb", "a\n b", "it's 'tis", "heat, Heat. heat,, \u00e9t\u00e9, \u65e5\u672c \u8a9e", "<|endoftext|> x", "a\u00a0b"]
